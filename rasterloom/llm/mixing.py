@@ -21,7 +21,6 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +76,7 @@ def _round_pairs(p: np.ndarray, size: np.ndarray, draw: np.ndarray, last: bool)
 
 
 def _rounder(level: int, seed: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         import zlib
 
         # Largest first, so that what is drawn at the end is small.

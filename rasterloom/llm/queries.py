@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from .bpe import round_trip
 from .chat import format_chats, read_back, with_probe
 from .common import settle, table
+from .embedding_join import near_vectors
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .ngram_join import near_components
 from .quality import fit, held_out, score
+from .substring_dedup import remove_repeats
 from .token_files import tokenized
 from .warc import archive_round_trip
 
@@ -32,6 +35,10 @@ def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenized(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -51,12 +58,20 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"))
+
+
+def op9_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mix_sources, op2_warc_salvage, op4_token_files, op5_quality, op6_chat_windows, op7_byte_bpe, op10_exact_dedup]
+    found = [op1_mix_sources, op2_warc_salvage, op3_substring_dedup, op4_token_files, op5_quality, op6_chat_windows, op7_byte_bpe, op8_ngram_join, op9_embedding_join, op10_exact_dedup]
     return {f.__name__: f for f in found}
 
 
@@ -70,6 +85,50 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
 FROM q
 """
 
+OP3_SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50),
+k AS (SELECT doc_id, i, sha256(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM s),
+r AS (SELECT DISTINCT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS low FROM k) WHERE doc_id > low),
+c AS (SELECT DISTINCT doc_id, i + unnest(generate_series(0, 49)) AS j FROM r),
+g AS (SELECT doc_id, list(j) AS gone FROM c GROUP BY doc_id),
+o AS (
+  SELECT d.doc_id, len(w) AS n, coalesce(len(gone), 0) AS m,
+    CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(gone, x)), lambda x: w[x]) END AS kept
+  FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_words, m::BIGINT AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM o
+"""
+
+OP8_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS h
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id WHERE r.root < u.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id AS doc_id, min(root) AS component_id FROM r GROUP BY id) c USING (doc_id)
+"""
+
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+f AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+u AS (SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+r(id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id WHERE r.root < u.b),
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM u GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
 OP10_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -78,4 +137,10 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_salvage": OP2_SQL, "op10_exact_dedup": OP10_SQL}
+    return {
+        "op2_warc_salvage": OP2_SQL,
+        "op3_substring_dedup": OP3_SQL,
+        "op8_ngram_join": OP8_SQL,
+        "op9_embedding_join": OP9_SQL,
+        "op10_exact_dedup": OP10_SQL,
+    }
