@@ -17,6 +17,7 @@ are ignored.
 from __future__ import annotations
 
 import mmap
+import re
 import struct
 import uuid
 import zlib
@@ -32,46 +33,49 @@ from .common import open_fs, scratch, settle, write_file
 _HEAD = struct.Struct("<8sIIQQ")  # magic, bytes an id, version, documents, ids
 _MAGIC = b"TOKIDS\x00\x01"
 _MANIFEST = "part int, ids_file string, index_file string, n_docs long, n_ids long, width int"
-#: ASCII white space at which texts are cut before tokenizing; it separates pieces in this vocabulary and has no ids.
-_CUT = str.maketrans("\t\n\r\x0b\x0c", "     ")
-
-
 def _head(width: int, docs: int, ids: int) -> bytes:
     return _HEAD.pack(_MAGIC, width, 1, docs, ids)
 
 
 class WordTokenizer:
-    """Encodes with the tokenizers library, each distinct white-space separated string once while it stays cached.
+    """Encodes with the tokenizers library, each distinct piece of text once while it stays cached.
 
-    Right only for vocabularies, like the one it's made for, whose pre-tokenizer drops white space
-    and never joins text across it.
+    Right only for vocabularies, like the one it's made for, that lower-case texts, drop white space
+    and never join letters and other marks, or text across white space. Texts are cut at ASCII white
+    space and before marks that end a word of ASCII letters; A-Z are lowered beforehand. Texts that
+    could hold a special token's string are encoded whole.
     """
 
-    def __init__(self, path: str, cache: int = 300_000):
+    #: ASCII marks but the apostrophe, after a letter and at the end of a word.
+    _MARKS = rb"(?<=[a-z])([!-&(-/:-@\[-`{-~]+)(?=[ \t\n\x0b\x0c\r]|$)"
+
+    def __init__(self, path: str, cache: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.cache: dict[str, list[int]] = {"": []}
-        self.most = cache
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
+        self.cut = re.compile(self._MARKS).sub
+        self.cache: dict[bytes, bytes] = {}
+        self.most = cache
 
-    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        split = [t.translate(_CUT).split(" ") for t in texts]
-        if len(self.cache) > self.most:
-            self.cache = {"": []}
-        cache = self.cache
-        new = list({w for ws in split for w in ws if w not in cache})
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
+        """Each text's ids, the end id included, as they stand in the file."""
+        cut, end = self.cut, np.array([end_id], self.kind).tobytes()
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        split = [None if b"<|" in r else cut(rb" \1", r.lower()).split() for r in raw]
+        seen = set().union(*[s for s in split if s])
+        if len(self.cache) > self.most:  # what is in use now stays
+            self.cache = {w: self.cache[w] for w in seen.intersection(self.cache)}
+        new = list(seen.difference(self.cache))
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
-            cache.update(zip(part, (e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False))))
-        out = []
-        for ws in split:
-            ids: list[int] = []
-            for w in ws:
-                ids += cache[w]
-            ids.append(end_id)
-            out.append(np.array(ids, f"<u{self.width}"))
-        return out
+            self.cache.update(zip(part, self._plain([w.decode("utf-8", "surrogatepass") for w in part])))
+        get = self.cache.__getitem__
+        return [b"".join(self._plain([t]) if s is None else map(get, s)) + end for t, s in zip(texts, split)]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -107,12 +111,12 @@ def write_tokens(df: DataFrame, tokenizer: str, out_dir: str, id_col: str = "doc
             while a < len(texts):
                 b = max(a + 1, a + int(np.searchsorted(np.cumsum(sizes[a:]), batch_chars)))
                 ids_out = tok.encode([t or "" for t in texts.slice(a, b - a).to_pylist()], end_id)
-                lengths += map(len, ids_out)
+                lengths += [len(x) // tok.width for x in ids_out]
                 if sink is None:
                     fs, path = open_fs(f"{name}.bin")
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
                     sink = fs.open_output_stream(path)
-                sink.write(b"".join(x.tobytes() for x in ids_out))
+                sink.write(b"".join(ids_out))
                 a = b
         if sink is None:
             return
