@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..config import Settings
 from ..functions import color, formulas, series
+from ..operators import arenas
 from ..operators import components as C
 from ..operators import descriptors, filters, growth, motion, network, pixels, polygon, segmentation, tracking
+from . import pipeline, search
 from .bridge import CURVE, IMG, VID, curves, foreground, images, table, videos
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -735,6 +738,101 @@ def capture_minutes(spark, sf):
     return minutes(o, ["k"]).select("k", "o_orderkey", "minutes")
 
 
+# -- arenas and whole analyses ----------------------------------------------------------------
+
+
+@query(f"""{IMG}, {_CC}, m AS (SELECT img, quantile_cont(area, 0.5) AS m, stddev_pop(area) AS s FROM cs GROUP BY img),
+tl AS (SELECT (i - 1)::INT AS i, 0.75::DOUBLE - (i - 1) * 0.05::DOUBLE AS t FROM range(1, 16) r(i)), tn AS (SELECT img, i, count(*) AS n FROM cs JOIN m USING (img), tl WHERE abs(area - m) <= round(t, 2) * m GROUP BY ALL),
+hit AS (SELECT img, min(i) AS i FROM tn WHERE n = 2 GROUP BY img)
+--
+SELECT cs.img, component, area FROM cs JOIN m USING (img) LEFT JOIN hit USING (img) LEFT JOIN tl ON tl.i = hit.i WHERE CASE WHEN hit.i IS NOT NULL THEN abs(area - m) <= round(t, 2) * m ELSE abs(area - m) <= 3 * s END""", "", "img, component, area")
+def selected_shapes(spark, sf):
+    return arenas.select_shapes(C.stats(_labelled(spark, sf), ["img"]), ["img"], 2).select("img", "component", "area")
+
+
+@query(f"{IMG}, {_CC}\n--\nSELECT img, (1.5::DOUBLE / avg(\"right\" - \"left\" + 1)) ** 2 AS pixel_area FROM cs GROUP BY img", "pixel_area", "img")
+def pixel_areas(spark, sf):
+    return arenas.pixel_area(C.stats(_labelled(spark, sf), ["img"]), ["img"], 8, blob_mm=1.5)
+
+
+@query(f"{IMG}, {_CC}, b AS (SELECT img, ((bottom + 1 - top) * (\"right\" + 1 - \"left\"))::DOUBLE AS a FROM cs), m AS (SELECT img, quantile_cont(a, 0.5) AS m FROM b GROUP BY img)\n--\nSELECT img, bool_or(a > 10 * m OR a * 10 < m) AS odd FROM b JOIN m USING (img) GROUP BY img", "", "img, odd")
+def odd_sized_arenas(spark, sf):
+    b = C.stats(_labelled(spark, sf), ["img"]).withColumn("bottom", F.col("bottom") + 1).withColumn("right", F.col("right") + 1)
+    return arenas.odd_sized(b, ["img"], 10.0)
+
+
+@query(f"""{VID}, b AS (SELECT * FROM (VALUES (1, 0, 6, 0, 6), (2, 4, 12, 5, 12)) b(box, t0, b0, l0, r0))
+--
+SELECT arena AS folder, box AS arena, t, y - t0 AS y, x - l0 AS x, v FROM vid JOIN b ON y >= t0 AND y < b0 AND x >= l0 AND x < r0""", "v", "folder, arena, t, y, x")
+def arena_pixels(spark, sf):
+    boxes = spark.createDataFrame([(1, 0, 6, 0, 6), (2, 4, 12, 5, 12)], "arena int, top int, bottom int, left int, right int")
+    v = videos(spark, sf).withColumnRenamed("arena", "folder")
+    return arenas.into_arenas(v, boxes, tile=4).select("folder", "arena", "t", "y", "x", "v")
+
+
+@query(f"{VID}, f AS (SELECT arena, t, count(*) AS n, sum(v) AS s FROM vid GROUP BY ALL)\n--\nSELECT arena, arg_min(n, t) AS first_pixels, arg_max(n, t) AS last_pixels, arg_min(s, t) AS first_total, arg_max(s, t) AS last_total FROM f GROUP BY arena", "first_total, last_total", "arena, first_pixels, last_pixels")
+def end_frames(spark, sf):
+    f = videos(spark, sf).groupBy("arena", "t").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
+    e = arenas.end_frames(f, ["arena"], "t", ["n", "s"])
+    return e.select("arena", F.col("first.n").alias("first_pixels"), F.col("last.n").alias("last_pixels"), F.col("first.s").alias("first_total"), F.col("last.s").alias("last_total"))
+
+
+@query(f"{IMG}, {_BYTES}, {_BGR}\n--\nSELECT img, bool_and(b = g AND g = r) AS grey FROM bgr GROUP BY img", "", "img, grey")
+def grey_images(spark, sf):
+    return arenas.is_grey(_bgr(spark, sf), ["img"])
+
+
+@query()
+def moving_boxes(spark, sf):
+    return arenas.moving_boxes(_tracked(spark, sf), ["arena"], 12, 12, 1)
+
+
+@query()
+def crop_boxes(spark, sf):
+    f = foreground(spark, sf)
+    runs = {}
+    for axis in ("x", "y"):
+        dense = images(spark, sf).select("img", axis).distinct().join(pixels.projections(f, ["img"], axis), ["img", axis], "left").withColumn("full", F.coalesce("pixels", F.lit(0)) > 3)
+        runs[axis] = series.run_bounds(dense, ["img"], axis, "full").withColumnRenamed(axis, "place")
+    return arenas.crop_box(runs["x"], runs["y"], ["img"], 8, 8)
+
+
+@query()
+def channel_search(spark, sf):
+    return search.search_channels(_bgr(spark, sf), ["img"], 5)
+
+
+@query()
+def logical_search(spark, sf):
+    d = _bgr(spark, sf)
+    return search.search_logical(d, ["img"], search.search_channels(d, ["img"], 2))
+
+
+@query()
+def channel_sums(spark, sf):
+    d = _bgr(spark, sf)
+    return search.search_sums(d, ["img"], search.search_channels(d, ["img"], 4))
+
+
+def _analysis(spark, sf) -> pipeline.Results:
+    return pipeline.analyse(videos(spark, sf), Settings(most_distance=3, fractal=True, networks=True), 12, 12)
+
+
+@query()
+def analysis_frames(spark, sf):
+    return _analysis(spark, sf).frames
+
+
+@query()
+def analysis_arenas(spark, sf):
+    return _analysis(spark, sf).arenas
+
+
+@query()
+def analysis_edges(spark, sf):
+    return _analysis(spark, sf).edges
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
