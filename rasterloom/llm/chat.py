@@ -5,8 +5,8 @@ turns' token counts choose spans that begin and end with whole turns. Each windo
 system turns, repeats earlier turns worth at most `history` tokens, then goes on with turns that no
 window had. The loss mask covers assistant texts once: those repeated as history are masked out.
 
-Template: `<|role|>` newline text `<|end|>` newline. In roles and texts `\` becomes `\\` and `<|`
-becomes `<\|`, so control strings never occur inside them and the texts can be read back.
+Template: `<|role|>` newline text `<|end|>` newline. In roles and texts `\` becomes `\\` and `|` becomes
+`\|`, so control strings never occur inside them and the texts can be read back.
 
 Conversations are sorted, not gathered: a task streams through its rows and holds the system turns
 and one window, however long a conversation is. The turns of one conversation do meet in one task,
@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOWS = "conv_id long, window int, text string, turn_from long, first_new int, loss array<int>, tokens long"
-_TURN = re.compile(r"<\|((?:[^<\\]|\\.|<(?!\|))*)\|>\n((?:[^<\\]|\\.|<(?!\|))*)<\|end\|>\n", re.S)
+_TURN = re.compile(r"<\|((?:[^|\\]|\\.)*)\|>\n((?:[^|\\]|\\.)*)<\|end\|>\n", re.S)
 
 
 def escape(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("<|", "<\\|")
+    return text.replace("\\", "\\\\").replace("|", "\\|")
 
 
 def unescape(text: str) -> str:
@@ -41,12 +41,7 @@ def unescape(text: str) -> str:
 
 
 def render(role: str, text: str) -> str:
-    # A role or text that ends with "<" must not form "<|" with what follows.
-    return f"<|{_shut(escape(role))}|>\n{_shut(escape(text))}<|end|>\n"
-
-
-def _shut(s: str) -> str:
-    return s[:-1] + "\\<" if s.endswith("<") else s
+    return f"<|{escape(role)}|>\n{escape(text)}<|end|>\n"
 
 
 def parse(formatted: str) -> list[tuple[str, str, int, int]]:
@@ -109,7 +104,7 @@ class _Windows:
         for k, (role, text) in enumerate([*self.system, *self.turns]):
             piece = render(role, text)
             if role == "assistant" and k >= len(self.system) + self.old:
-                first = at + len(f"<|{_shut(escape(role))}|>\n")
+                first = at + len(f"<|{escape(role)}|>\n")
                 loss += [first, at + len(piece) - len("<|end|>\n")]
             parts.append(piece)
             at += len(piece)
