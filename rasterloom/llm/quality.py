@@ -144,7 +144,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     one = rows.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").select("text", "y")
     got = one.mapInArrow(run, "weights binary, bias double, slope double, shift double").first()
-    return got.asDict()
+    return got.asDict() if got is not None else _fit(pa.array([], pa.large_string()), np.zeros(0))
 
 
 def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
