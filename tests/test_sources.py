@@ -26,12 +26,12 @@ def tiff(pages):
 def folder(tmp_path):
     rng = np.random.default_rng(0)
     a = rng.integers(0, 255, (4, 6, 3), dtype=np.uint8)
-    g = rng.integers(0, 255, (5, 4), dtype=np.uint8)
+    g = rng.integers(0, 255, (5, 7), dtype=np.uint8)
     np.save(tmp_path / "im10.npy", a)
     np.save(tmp_path / "im9.npy", np.stack([g, g]))
     (tmp_path / "c.png").write_bytes(export.png(a))
     (tmp_path / "g.png").write_bytes(export.png(g))
-    (tmp_path / "p.pgm").write_bytes(b"P5\n# note\n4 5\n255\n" + g.tobytes())
+    (tmp_path / "p.pgm").write_bytes(b"P5\n# note\n7 5\n255\n" + g.tobytes())
     (tmp_path / "s.tif").write_bytes(tiff([g, 255 - g]))
     return tmp_path, a, g
 
