@@ -12,7 +12,7 @@ from ..config import Settings
 from ..functions import color, formulas, series
 from ..operators import arenas
 from ..operators import components as C
-from ..operators import descriptors, filters, growth, motion, network, pixels, polygon, segmentation, tracking
+from ..operators import descriptors, dynamics, filters, growth, motion, network, pixels, polygon, segmentation, tracking
 from . import pipeline, search
 from .bridge import CURVE, IMG, VID, curves, foreground, images, table, videos
 
@@ -833,6 +833,65 @@ def analysis_edges(spark, sf):
     return _analysis(spark, sf).edges
 
 
+# -- dynamics ----------------------------------------------------------------
+
+for _how, _order in (("largest", "area DESC, component"), ("most_central", "round((cy - 4) ** 2 + (cx - 4) ** 2, 6), component")):
+
+    def _origins(spark, sf, how=_how):
+        return dynamics.origin_component(C.stats(_labelled(spark, sf), ["img"]), ["img"], 8, 8, how)
+
+    _origins.__name__ = f"origin_{_how}"
+    query(f"{IMG}, {_CC}\n--\nSELECT img, component, area, least(area * 1.2::DOUBLE, area + 250.0::DOUBLE) AS substantial FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY {_order}) AS o FROM cs) WHERE o = 1", "substantial", "img, component, area")(_origins)
+
+
+@query(f"""{VID}, a AS (SELECT arena, t, count(*) AS area FROM vid GROUP BY ALL), o AS (SELECT arena, least(area * 1.2::DOUBLE, area + 250.0::DOUBLE) AS s FROM a WHERE t = 0),
+n AS (SELECT arena, t, sum((area > s)::INT) OVER (PARTITION BY arena ORDER BY t) AS n FROM a JOIN o USING (arena))
+--
+SELECT arena, min(CASE WHEN n >= 3 THEN t END) AS substantial_time FROM n GROUP BY arena""", "", "arena, substantial_time")
+def substantial_times(spark, sf):
+    a = videos(spark, sf).groupBy("arena", "t").agg(F.count(F.lit(1)).alias("area"))
+    o = a.where("t = 0").select("arena", F.least(F.col("area") * 1.2, F.col("area") + 250.0).alias("substantial"))
+    return dynamics.substantial_times(a, o, ["arena"])
+
+
+@query(f"""{VID}, e AS (SELECT arena, min(t) AS a, max(t) AS b FROM frames GROUP BY arena), f AS (SELECT * FROM frames JOIN e USING (arena)),
+i AS (SELECT f.arena, f.t, y, x FROM f JOIN vid v ON v.arena = f.arena AND v.t BETWEEN f.t - 2 AND f.t + 2 WHERE f.t >= a + 2 AND f.t <= b - 1 GROUP BY ALL HAVING count(*) >= 2),
+o AS (SELECT DISTINCT f.arena, f.t, y, x FROM f JOIN vid v ON v.arena = f.arena AND ((f.t < a + 2 AND v.t IN (a, a + 1)) OR (f.t >= a + 2 AND f.t > b - 1 AND v.t IN (b - 1, b))))
+--
+SELECT * FROM i UNION ALL SELECT * FROM o""", "", "arena, t, y, x")
+def network_votes(spark, sf):
+    v = videos(spark, sf)
+    return dynamics.network_votes(v, ["arena"], v.select("arena", "t").distinct())
+
+
+@query()
+def network_states(spark, sf):
+    v = videos(spark, sf)
+    f = v.select("arena", "t").distinct()
+    return dynamics.network_states(dynamics.network_votes(v, ["arena"], f), ["arena"], 12, 12, 0.2, 5, all_frames=f)
+
+
+@query()
+def covering_steps(spark, sf):
+    v = videos(spark, sf)
+    noise = v.groupBy("arena").agg((F.percentile("v", 0.1)).alias("noise"))
+    return dynamics.covering_steps(v, ["arena"], noise, v.select("arena", "t").distinct())
+
+
+@query()
+def slope_segmentation(spark, sf):
+    v = videos(spark, sf)
+    base = motion.slopes(v, ["arena"]).groupBy("arena").agg(F.percentile("slope", 0.6).alias("base"))
+    return dynamics.slope_segmentation(v, ["arena"], base, False, 60)
+
+
+@query()
+def filled_states(spark, sf):
+    v = videos(spark, sf)
+    states = motion.track_shapes(v, ["arena"], 12, 12, motion.Rules(), v.select("arena", "t").distinct())
+    return dynamics.filled_states(states, ["arena"], 12, 12)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

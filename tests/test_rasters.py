@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import color, formulas, series
 from rasterloom.functions import kernels as K
-from rasterloom.operators import components, descriptors, filters, growth, motion, network, pixels, polygon, segmentation, tracking
+from rasterloom.operators import components, descriptors, dynamics, filters, growth, motion, network, pixels, polygon, segmentation, tracking
 from rasterloom.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -308,3 +308,48 @@ def test_oscillation_signs(spark):
     d = spark.createDataFrame(rows, "arena int, t int, y int, x int, v double")
     got = motion.oscillation_signs(d, ["arena"]).collect()
     assert all(r.sign == (1 if r.x else -1) for r in got) and len(got) == 8
+
+
+# -- dynamics ----------------------------------------------------------------
+
+
+def test_major_incline():
+    flat = np.r_[np.zeros(20), np.linspace(0, 100, 120), np.full(20, 100.0)]
+    left, right = dynamics.major_incline(flat, 4.0)
+    assert 18 <= left <= 26 and 18 <= right <= 25
+    assert dynamics.major_incline(np.array([3, 5, 7, 9, 10]), 2.5) == (0, 1)
+    assert dynamics.major_incline(np.array([]), 1.0) == (0, 1)
+
+
+def test_holes_are_filled_as_the_shape_comes_by():
+    states = []
+    for k in range(6):
+        a = np.zeros((9, 20), bool)
+        a[2:7, 1 : 4 + 3 * k] = True
+        if k > 1:
+            a[4, 6:8] = False
+        states.append(a)
+    out = dynamics.fill_back(states)
+    assert out[-1][4, 6:8].all() and not out[0][4, 6:8].any()
+    assert all((b >= a).all() for a, b in zip(states, out))
+    assert all((b[4, 6] <= c[4, 6]) for b, c in zip(out, out[1:]))
+
+
+def test_shapes_grow_apart():
+    a = np.zeros((15, 15), bool)
+    a[7, 3] = True
+    b = np.zeros((15, 15), bool)
+    b[7, 11] = True
+    out = dynamics.grow_apart(a, b, np.array([[7, 3], [7, 11]]), np.array([7, 3]))
+    assert out.sum() > 1 and not (out & b).any() and not out[:, 0].any()
+    assert dynamics.refill_mask(np.arange(25.0).reshape(5, 5), a[5:10, 1:6])[2, 2] == pytest.approx(12.0)
+
+
+def test_network_keeps_large_parts(spark):
+    f = np.zeros((3, 8, 12), bool)
+    f[:, 3, 1:11] = True
+    f[1, 3, 4:11] = False
+    got = {}
+    for r in dynamics.network_states(video(spark, f), ["arena"], 8, 12, 0.2, 5).collect():
+        got[r.t] = got.get(r.t, 0) + 1
+    assert got == {0: 10, 1: 10, 2: 10}
