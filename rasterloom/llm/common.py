@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import os
 import shutil
 import tempfile
@@ -89,29 +91,54 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     return local.join(bases, "__pid").withColumn(name, F.col("__base") + F.col("__i")).drop("__pid", "__i", "__base")
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files that nothing refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Arrow batches of at most `size` for what runs inside: wide rows are held a few times over on their way to Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def components(links: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """Connected components of links (a long, b long) by alternating large-star and small-star steps.
 
     Returns (id, component_id) for every id on a link; component_id is the smallest id reachable.
-    Links shrink to stars around the smallest ids in about log rounds. All sums are partial before
-    the shuffle; a node with very many links is split by the skew handling of the joins.
+    Links (u, v), u > v, shrink to stars around the smallest ids in about log rounds. A step asks for
+    the smallest of a node's smaller neighbours; those are summed up in part before the shuffle. A
+    centre with very many larger neighbours is one side's hot key in a join, which is split.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = settle(edges, name)
     before = None
     for _ in range(max_rounds):
-        both = edges.union(edges.select(F.col("v"), F.col("u")))
-        low = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.col("w")).alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(low.where("m < w").select(F.col("w"), F.col("m"))).where("u > v").distinct()
-        low = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
-        small = large.join(low, F.col("u") == F.col("w")).select("u", "v", "m")
-        small = small.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        edges = settle(small.distinct(), name)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
+        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        # Large star: larger neighbours of v, and v itself, go to the smallest neighbour of v.
+        up = low.select(F.col("u").alias("w"), "m")
+        large = edges.join(up, F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v")).union(low.select("u", "m"))
+        # Small star: smaller neighbours of u, and u itself, go to the smallest of them.
+        large = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        pair = lambda x: F.struct(F.col(x).alias("u"), F.col("m").alias("v"))
+        both = F.explode(F.when(F.col("v") == F.col("m"), F.array(pair("u"))).otherwise(F.array(pair("u"), pair("v")))).alias("e")
+        edges = settle(large.select(both).select("e.u", "e.v").distinct(), name)
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()

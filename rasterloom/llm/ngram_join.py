@@ -1,21 +1,21 @@
 """N-gram Jaccard join as a blocked sparse matrix product.
 
 Rows of the matrix are texts, columns are n-grams. Texts with equal sets are one row (a class). The
-columns have one order for all: frequent n-grams last, else by hash. By size alone a row of n entries
-with a partner at similarity t shares one of its first n - ceil(t n) + 1 columns, so only that part of
-the matrix is multiplied:
-
-1. entries are sorted by column and streamed; columns with one row go. The remaining entries are
-   linked to their column's first row: pairs of row and first row that overlap enough are verified,
-   and their components found. That is linear in the entries and joins up large groups of near
-   copies without their pairs.
-2. The product proper: columns whose rows aren't all in one component are multiplied out in blocks of
-   `block` by `block` rows, for pairs across components only. Overlaps are accumulated over all
-   columns; pairs that can't reach the size-derived bound even if all that is beyond the prefixes
-   agreed are discarded; the rest is verified on whole sets. No link between components is lost, and
-   links inside one change nothing.
-
-The frequent n-grams only order the columns: a wrong or missing one costs time, never a link.
+columns have one order for all: by the number of rows that have them, the rarest first, and after all
+others those that are frequent in some task (so that no bucket fills up with one of them). By size
+alone a row of n entries with a partner at similarity t shares one of its first n - ceil(t n) + 1
+columns, so only that part of the matrix is multiplied; columns of one row alone fill most of it and
+are never listed:
+
+1. entries are sorted by column and streamed; columns with one row go. Every other row is compared
+   with its columns' first rows, whole, and labelled by the smallest it is linked with. That is linear
+   in the entries and joins up large groups of near copies without their pairs.
+2. The product proper: rows of columns that aren't all under one label are multiplied in blocks of
+   about `block` by `block` rows, over all columns. Overlaps are accumulated strip by strip and pairs
+   below the bound that follows from their sizes are discarded where they arise. No link across labels
+   is lost, and links under one label change nothing.
+
+The order of the columns costs or saves time, never a link: it only has to be the same for all rows.
 
 Defined results: null or empty texts have size 0 and link with nothing; texts below n words are one
 n-gram; a row without id is a component of its own, null; rows that repeat an id are one node of the
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import components, settle
+from .common import components, settle, small_batches, tidy
 from .textkernel import find_words, gram_hashes, mix, text_chunks, whole_hash, word_hashes
 
 
@@ -64,7 +64,7 @@ def _class_of(grams: np.ndarray) -> tuple[int, int]:
 _SCAN = "frequent boolean, a long, b long, n int, doc long"
 
 
-def scan_sets(df: DataFrame, n: int, often: int = 4, flush: int = 1 << 21) -> DataFrame:
+def scan_sets(df: DataFrame, n: int, often: int = 16, flush: int = 1 << 20) -> DataFrame:
     """One pass over id, text: (false, class, check, size, id) of each row and (true, n-gram, null, count, null) of n-grams seen `often` times in a task's stretch."""
 
     def run(batches):
@@ -97,115 +97,237 @@ def scan_sets(df: DataFrame, n: int, often: int = 4, flush: int = 1 << 21) -> Da
     return df.select("id", "text").mapInArrow(run, _SCAN)
 
 
-_ENTRIES = "gram long, cls long, n int, p int"
+_PACKED = "bucket int, task int, owners binary, counts binary, keys binary, doc int, cls long, n int, late int"
+#: Bytes of an n-gram's hash that are sent beside its bucket. Hashes that agree in those count as one column: that adds pairs to verify and loses none.
+_KEY = 5
+
 
+def packed_grams(df: DataFrame, n: int, t: float, frequent: np.ndarray, bits: int) -> DataFrame:
+    """Every class's n-grams but the frequent ones, by hash bucket, packed; and a head row for each class. A task sends a class once.
 
-def prefix_entries(df: DataFrame, n: int, t: float, frequent: np.ndarray) -> DataFrame:
-    """(gram, class, set size, prefix length): the first columns of each class's row; a task sends a class once."""
+    A row is either a packed run (bucket >= 0: owners' numbers, counts and keys), a head (bucket -1:
+    task, doc, cls, n, late), or the frequent n-grams of a class that could need them (bucket -2).
+    """
     sent = df.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        hot = sent.value  # sorted by value; the second row is the place in the order
-        seen: set[int] = set()
-        names = [f.split()[0] for f in _ENTRIES.split(", ")]
-        parts, held = [], 0
+        from pyspark import TaskContext
 
-        def out():
-            g = np.concatenate([x for x, _, _ in parts]).view(np.int64)
-            k = [len(x) for x, _, _ in parts]
-            return pa.RecordBatch.from_arrays([pa.array(g), *(pa.array(np.repeat(np.array([x[i] for x in parts], d), k)) for i, d in ((1, np.int64), (2, np.int32))), pa.array(np.repeat(np.array(k, np.int32), k))], names=names)
+        hot, task, seen = sent.value, TaskContext.get().partitionId(), set()
+        names = [f.split()[0] for f in _PACKED.split(", ")]
+        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+        grams_held, sizes, first, rows, number = [], [], 0, [], 0
 
+        def out():
+            nonlocal first, rows, grams_held, sizes
+            g = np.concatenate(grams_held) if grams_held else np.zeros(0, np.uint64)
+            own = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes) + np.uint32(first)
+            bucket = (g >> np.uint64(64 - bits)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            g, own, bucket = g[order], own[order], bucket[order]
+            keys = np.ascontiguousarray(g.view(np.uint8).reshape(-1, 8)[:, :_KEY])
+            cut = np.flatnonzero(np.diff(bucket)) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(g)]):
+                if b > a:
+                    o = own[a:b]
+                    at = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+                    rows.append((int(bucket[a]), task, o[at].tobytes(), np.diff(np.append(at, b - a)).astype(np.uint32).tobytes(), keys[a:b].tobytes(), None, None, None, None))
+            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(types)], names=names)
+            first, rows, grams_held, sizes = number, [], [], []
+            return batch
+
+        held = 0
         for batch in batches:
             for _, grams in gram_sets(batch.column(0), n):
                 cls = _class_of(grams)[0]
                 if cls in seen:
                     continue
                 seen.add(cls)
-                size = len(grams)
-                p = size - math.ceil(t * size - 1e-9) + 1
+                size, late = len(grams), np.zeros(0, np.int64)
                 if len(hot[0]):
                     i = np.minimum(np.searchsorted(hot[0], grams), len(hot[0]) - 1)
                     place = np.where(hot[0][i] == grams, hot[1][i], np.uint64(0))
                     late = np.flatnonzero(place)
-                    if size - len(late) < p and len(late):
-                        grams = np.concatenate([grams[place == 0], grams[late[np.argsort(place[late], kind="stable")]]])
-                    elif len(late):
-                        grams = grams[place == 0]
-                parts.append((grams[:p], cls, size))
-                held += p
-                if held > 1 << 16:
+                rows.append((-1, task, None, None, None, number, cls, size, len(late)))
+                if len(late):
+                    if len(late) >= math.ceil(t * size - 1e-9):
+                        rows.append((-2, task, place[late].astype("<u8").tobytes(), None, grams[late].tobytes(), number, cls, size, len(late)))
+                    grams = grams[place == 0]
+                grams_held.append(grams), sizes.append(len(grams))
+                number += 1
+                held += size
+                if held > 1 << 20:
                     yield out()
-                    parts, held = [], 0
-        if parts:
+                    held = 0
+        if rows:
             yield out()
 
-    return df.select("text").mapInArrow(run, _ENTRIES)
+    return df.select("text").mapInArrow(run, _PACKED)
+
+
+_REPEATED = "task int, doc int, df int, gram long, cls long, n int, late int"
+_LATE = 1 << 30
+
+
+def repeated_grams(packed: DataFrame) -> DataFrame:
+    """(task, doc, df, gram) of n-grams that several rows have, df is how many; heads with df -1; frequent ones after all others."""
+
+    def run(batches):
+        names = [f.split()[0] for f in _REPEATED.split(", ")]
+        now, held = None, []
+
+        def none(m, k):
+            return pa.nulls(m, k)
+
+        def out():
+            keys = np.frombuffer(b"".join(h[3] for h in held), np.uint8).reshape(-1, _KEY)
+            wide = np.zeros((len(keys), 8), np.uint8)
+            wide[:, :_KEY] = keys
+            k = wide.view("<u8").ravel() | np.uint64(now) << np.uint64(8 * _KEY)
+            counts = [np.frombuffer(h[2], np.uint32) for h in held]
+            own = np.repeat(np.concatenate([np.frombuffer(h[1], np.uint32) for h in held]), np.concatenate(counts)).astype(np.int32)
+            task = np.repeat(np.array([h[0] for h in held], np.int32), [int(c.sum()) for c in counts])
+            order = np.argsort(k)
+            k, own, task = k[order], own[order], task[order]
+            at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            df = np.repeat(np.diff(np.append(at, len(k))), np.diff(np.append(at, len(k))))
+            on = df > 1
+            for a in range(0, int(on.sum()), 1 << 16):
+                s = slice(a, a + (1 << 16))
+                cols = [task[on][s], own[on][s], np.minimum(df[on][s], _LATE - 1).astype(np.int32), k[on][s].view(np.int64)]
+                m = len(cols[0])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), none(m, pa.int64()), none(m, pa.int32()), none(m, pa.int32())], names=names)
+
+        for batch in batches:
+            c = [batch.column(i) for i in range(batch.num_columns)]
+            kinds = c[0].to_numpy(zero_copy_only=False)
+            heads = pa.array(np.flatnonzero(kinds == -1))
+            if len(heads):
+                m = len(heads)
+                yield pa.RecordBatch.from_arrays([c[1].take(heads), c[5].take(heads), pa.array(np.full(m, -1, np.int32)), none(m, pa.int64()), c[6].take(heads), c[7].take(heads), c[8].take(heads)], names=names)
+            for i in np.flatnonzero(kinds == -2).tolist():
+                place, grams = (np.frombuffer(c[j][i].as_py(), "<u8") for j in (2, 4))
+                m = len(grams)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, c[1][i].as_py(), np.int32)), pa.array(np.full(m, c[5][i].as_py(), np.int32)), pa.array((place + np.uint64(_LATE)).astype(np.int32)), pa.array(grams.view(np.int64)), none(m, pa.int64()), none(m, pa.int32()), none(m, pa.int32())], names=names)
+            for i in np.flatnonzero(kinds >= 0).tolist():
+                if kinds[i] != now:
+                    if held:
+                        yield from out()
+                    now, held = int(kinds[i]), []
+                held.append((c[1][i].as_py(), c[2][i].as_py(), c[3][i].as_py(), c[4][i].as_py()))
+        if held:
+            yield from out()
+
+    # Heads and frequent ones are dealt by class: they need no company here.
+    place = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("cls"), F.lit(1 << 20)))
+    return packed.repartition(place).sortWithinPartitions("bucket").mapInArrow(run, _REPEATED)
+
+
+_ENTRIES = "gram long, cls long, n int, p int"
+
 
+def prefix_entries(repeated: DataFrame, t: float) -> DataFrame:
+    """(gram, class, set size, prefix length) of the shared columns in each row's prefix: n-grams of one row alone come first and aren't listed, then the others by rising df."""
 
-_POSTS = "gram long, cls long, n int, p int, lead long, lead_n int, first boolean"
+    def run(batches):
+        names = [f.split()[0] for f in _ENTRIES.split(", ")]
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            cols = [np.asarray(batch.column(i).fill_null(0)) for i in range(7)]
+            cols = cols if rest is None else [np.concatenate([r, c]) for r, c in zip(rest, cols)]
+            heads = np.flatnonzero(cols[2] == -1)
+            last = heads[-1] if len(heads) else 0
+            yield from done([c[:last] for c in cols], names)
+            rest = [c[last:].copy() for c in cols]
+        if rest is not None:
+            yield from done(rest, names)
+
+    def done(cols, names):
+        at = np.flatnonzero(cols[2] == -1)
+        if not len(at):
+            return
+        size = np.diff(np.append(at, len(cols[0])))
+        n, late = cols[5][at].astype(np.int64), cols[6][at]
+        frequent = np.add.reduceat((cols[2] >= _LATE).astype(np.int64), at)
+        alone = n - late - (size - 1 - frequent)
+        p = n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
+        take = np.clip(p - alone, 0, size - 1)
+        if not take.any():
+            return
+        off = np.concatenate([[0], np.cumsum(take)])
+        i = np.repeat(at + 1 - off[:-1], take) + np.arange(off[-1])
+        own = np.repeat(np.arange(len(at)), take)
+        yield pa.RecordBatch.from_arrays([pa.array(cols[3][i]), pa.array(cols[4][at][own]), pa.array(n[own].astype(np.int32)), pa.array(p[own].astype(np.int32))], names=names)
+
+    return repeated.repartition("task", "doc").sortWithinPartitions("task", "doc", "df", "gram").mapInArrow(run, _ENTRIES)
+
+
+_POSTS = "gram long, cls long, n int, p int, lead long, leads array<long>"
+#: How many rows of a column every other row of it is compared with first.
+LEADS = 2
 
 
 def shared_columns(entries: DataFrame) -> DataFrame:
-    """Entries of columns with several rows, each with its column's first row."""
+    """Entries of columns with several rows, each with its column's first row and the first LEADS rows before it."""
 
     def run(batches):
         names = [f.split()[0] for f in _POSTS.split(", ")]
-        last = None  # the held entry: the first of its column so far, not yet sent
+        kept = None  # of the column that goes on: the first row while it is alone, else (gram, last class, first rows, rows so far)
         for batch in batches:
             g, c, n, p = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             if not len(g):
                 continue
-            if last is not None:
-                g, c, n, p = (np.concatenate([[x], y]) for x, y in zip(last[:4], (g, c, n, p)))
-                sent0, lead0 = last[4], last[5]
-            else:
-                sent0, lead0 = False, None
+            lead, seen = [], 0
+            if kept is not None and len(kept) == 1:
+                g, c, n, p = (np.concatenate([[x], y]) for x, y in zip(kept[0], (g, c, n, p)))
             keep = np.ones(len(g), bool)  # one entry a row and column
             keep[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+            if kept is not None and len(kept) == 4 and g[0] == kept[0]:
+                keep[0] = c[0] != kept[1]
+                lead, seen = kept[2], kept[3]
+            if not keep.any():
+                continue
             g, c, n, p = g[keep], c[keep], n[keep], p[keep]
-            new = np.ones(len(g), bool)
-            new[1:] = g[1:] != g[:-1]
-            at = np.flatnonzero(new)
+            at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            if seen and g[0] != kept[0]:
+                lead, seen = [], 0
             size = np.diff(np.append(at, len(g)))
-            lead, lead_n = np.repeat(c[at], size), np.repeat(n[at], size)
-            first = new.copy()
-            send = np.repeat(size > 1, size)
-            if lead0 is not None and sent0:  # the column goes on from the batch before
-                lead[: size[0]], lead_n[: size[0]] = lead0
-                send[: size[0]] = True
-                send[0], first[0] = False, False
-            # The last entry is held back: what follows may be of its column.
-            tail = at[-1]
-            going = size[-1] > 1 or (len(at) == 1 and sent0)
-            k = len(g) - 1
-            last = (g[k], c[k], n[k], p[k], bool(going), (lead[k], lead_n[k])) if going else (g[k], c[k], n[k], p[k], False, (c[k], n[k]))
-            if not going:
-                send[tail] = False
+            start = np.repeat(at, size)
+            place = np.arange(len(g)) - start
+            place[: size[0]] += seen
+            firsts = np.zeros((len(g), LEADS), np.int64)
+            for k in range(LEADS):
+                firsts[:, k] = c[np.minimum(start + k, len(g) - 1)]
+                own = lead[k] if k < len(lead) else c[min(k - len(lead), len(c) - 1)]
+                firsts[: size[0], k] = own
+            total = size.copy()
+            total[0] += seen
+            send = np.repeat(total > 1, size)
+            last = len(g) - 1
+            if total[-1] > 1:
+                in_last = firsts[last].tolist()
+                kept = (g[last], c[last], in_last[: min(LEADS, int(total[-1]))], int(total[-1]))
+            else:
+                kept = ((g[last], c[last], n[last], p[last]),)
             s = np.flatnonzero(send)
             if len(s):
-                yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (g, c, n.astype(np.int32), p.astype(np.int32), lead, lead_n.astype(np.int32), first)], names=names)
+                mask = place[s][:, None] > np.arange(LEADS)
+                off = np.concatenate([[0], np.cumsum(mask.sum(1))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(off), pa.array(firsts[s][mask]))
+                yield pa.RecordBatch.from_arrays([pa.array(g[s]), pa.array(c[s]), pa.array(n[s].astype(np.int32)), pa.array(p[s].astype(np.int32)), pa.array(firsts[s, 0]), lists], names=names)
 
     return entries.repartition(F.col("gram")).sortWithinPartitions("gram", "cls").mapInArrow(run, _POSTS)
 
 
-def need(a: str, b: str, t: float):
-    """Least overlap of sets of these sizes at similarity t."""
-    return F.ceil((F.col(a) + F.col(b)) * (t / (1 + t)) - 1e-9)
-
-
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, name: str, salts: int = 32) -> DataFrame:
-    """The links (a, b) among pairs of classes: sets are made anew for the classes that occur and compared whole."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes, "cls").select("cls", "doc")
-    wanted = settle(wanted, f"{name}-wanted")
+def make_sets(wanted: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(cls, data): the whole sets of the wanted classes (cls, doc), made anew where their texts are read."""
     count = wanted.count()
-    if not count:
-        return pairs.select("a", "b").limit(0)
     bitmap = sketch.bitmap_of(wanted.select("doc"), min(26, sketch.bits_for(count)))
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    def sets(batches):
+    def run(batches):
         for batch in batches:
-            hit = sketch.test(sent.value, batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            hit = sketch.test(sent.value, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
             some = batch.filter(pa.array(hit))
             ids = some.column(0).to_pylist()
             cls, doc, data, held = [], [], [], 0
@@ -218,87 +340,138 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percen
             if cls:
                 yield pa.RecordBatch.from_pydict({"cls": cls, "doc": pa.array(doc, pa.int64()), "data": pa.array(data, pa.binary())})
 
-    made = docs.select("id", "text").where("id is not null").mapInArrow(sets, "cls long, doc long, data binary")
-    made = settle(made.join(wanted, ["cls", "doc"], "left_semi").drop("doc"), f"{name}-sets")
+    made = docs.select("id", "text").where("id is not null").mapInArrow(run, "cls long, doc long, data binary")
+    return made.join(wanted, ["cls", "doc"], "left_semi").dropDuplicates(["cls", "doc"]).select("cls", "data")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 32) -> DataFrame:
+    """Links (a, b) among pairs of classes, compared whole; of the links that a task finds those that span its components."""
     salt = F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")
     right = pairs.select("a", "b", salt.alias("salt"))
-    left = right.select("a", "salt").distinct().join(made, F.col("a") == F.col("cls")).select("a", "salt", F.lit(None).cast("long").alias("b"), "data")
-    right = right.join(made, F.col("b") == F.col("cls")).select("a", "salt", "b", "data")
+    left = right.select("a", "salt").distinct().join(sets, F.col("a") == F.col("cls")).select("a", "salt", F.lit(None).cast("long").alias("b"), "data")
+    right = right.join(sets, F.col("b") == F.col("cls")).select("a", "salt", "b", "data")
     both = left.union(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
-    def compare(batches):
-        now, mine = None, None
+    def run(batches):
+        now, mine, parent = None, None, {}
+
+        def root(v):
+            while (up := parent.setdefault(v, v)) != v:
+                parent[v] = v = parent[up]
+            return v
+
         for batch in batches:
             a_out, b_out = [], []
-            for a, salt, b, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                grams = np.frombuffer(data, np.uint64)
+            for i, (a, salt, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
                 if b is None:
-                    now, mine = (a, salt), grams
+                    now, mine = (a, salt), np.frombuffer(batch.column(3)[i].as_py(), np.uint64)
                 elif now == (a, salt):
+                    x, y = root(a), root(b)
+                    if x == y:
+                        continue
+                    grams = np.frombuffer(batch.column(3)[i].as_py(), np.uint64)
                     at = np.minimum(np.searchsorted(mine, grams), len(mine) - 1)
                     common = int((mine[at] == grams).sum())
                     if 100 * common >= percent * (len(mine) + len(grams) - common):
+                        parent[max(x, y)] = min(x, y)
                         a_out.append(a), b_out.append(b)
             if a_out:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
-
-    return settle(both.mapInArrow(compare, "a long, b long"), f"{name}-links")
-
-
-def cross_pairs(posts: DataFrame, block: int, t: float) -> DataFrame:
-    """(a, b, na, nb, pa, pb, common) over columns with rows of several components; posts has their label `comp`."""
-    mixed = posts.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).where("x < y").select("gram", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    rows = posts.join(mixed, "gram").select("gram", "cls", "n", "p", "comp", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("own"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("*", other).select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "n", "p", "comp")
+            if len(parent) > 1 << 20:
+                parent = {}
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def overlaps(rows: list[np.ndarray], others: list[np.ndarray]):
+    """Strips of the product of two blocks' incidence matrices: (place of the row, its overlap with every other row)."""
+    flat = np.concatenate(others)
+    own = np.repeat(np.arange(len(others)), [len(x) for x in others])
+    order = np.argsort(flat, kind="stable")
+    flat, own = flat[order], own[order]
+    for k, grams in enumerate(rows):
+        lo, hi = np.searchsorted(flat, grams, "left"), np.searchsorted(flat, grams, "right")
+        size = hi - lo
+        some = size > 0
+        lo, size = lo[some], size[some]
+        off = np.concatenate([[0], np.cumsum(size)])
+        yield k, np.bincount(own[np.repeat(lo - off[:-1], size) + np.arange(off[-1])], minlength=len(others))
+
+
+def block_links(posts: DataFrame, sets: DataFrame, block: int, percent: int) -> DataFrame:
+    """Links (a, b) across labels among rows that share a column; posts has their label `comp`.
+
+    Rows of columns with the same first row form a group, which is cut in blocks of about `block`
+    rows; each pair of blocks is a task of its own. It multiplies the blocks' whole incidence
+    matrices, strip by strip, and keeps the pairs whose overlap reaches the bound for their sizes;
+    of those, the ones that join its components.
+    """
+    mixed = posts.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("gram")
+    rows = posts.join(mixed, "gram", "left_semi").groupBy("lead", "cls").agg(F.first("comp").alias("comp"), F.first("n").alias("n"))
+    # About `block` rows a block, and about a million n-grams, 8 MB, where rows are long.
+    large = rows.groupBy("lead").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / 1_000_000)).cast("int").alias("blocks"))
+    rows = rows.drop("n").join(large, "lead").join(sets, "cls").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "comp", "data")
 
     def run(batches):
-        names = ["a", "b", "na", "nb", "pa", "pb", "common"]
-        held, now, parts, size = [], None, [], 0
+        now, parts = None, []
+        a_out, b_out = [], []
 
         def product():
-            """Pairs of one block: its rows by its columns, across components."""
-            r = np.array(held, np.int64)
-            x, y = (r[r[:, 0] == now[1]], r[r[:, 0] == now[2]]) if now[1] != now[2] else (r, r)
-            for k in range(0, len(x), 512):  # a strip of rows at a time
-                u = x[k : k + 512]
-                ok = (u[:, 4][:, None] != y[:, 4]) & (u[:, 2][:, None] >= t * y[:, 2] - 1) & (y[:, 2] >= t * u[:, 2][:, None] - 1)
-                ok &= u[:, 1][:, None] < y[:, 1] if now[1] == now[2] else True
-                i, j = np.nonzero(ok)
-                u, v = u[i], y[j]
-                swap = u[:, 1] > v[:, 1]
-                u, v = np.where(swap[:, None], v, u), np.where(swap[:, None], u, v)
-                if len(u):
-                    yield np.column_stack([u[:, 1], v[:, 1], u[:, 2], v[:, 2], u[:, 3], v[:, 3]])
+            left, right = ([x for x in parts if x[0] == k] for k in now[1:])
+            if now[1] == now[2]:
+                right = left
+            if not left or not right:
+                return
+            parent: dict[int, int] = {}
+
+            def root(v):
+                while (up := parent.setdefault(v, v)) != v:
+                    parent[v] = v = parent[up]
+                return v
+
+            size = np.array([len(x[3]) for x in right])
+            comp = np.array([x[2] for x in right])
+            for k, common in overlaps([x[3] for x in left], [x[3] for x in right]):
+                _, cls, own, grams = left[k]
+                ok = (100 * common >= percent * (len(grams) + size - common)) & (comp != own)
+                for m in np.flatnonzero(ok).tolist():
+                    x, y = root(own), root(int(comp[m]))
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        a_out.append(cls), b_out.append(right[m][1])
 
         def out():
-            m, c = np.unique(np.concatenate(parts), axis=0, return_counts=True)
-            return pa.RecordBatch.from_arrays([*(pa.array(m[:, i]) for i in range(6)), pa.array(c.astype(np.int64))], names=names)
+            batch = pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+            a_out.clear(), b_out.clear()
+            return batch
 
         for batch in batches:
-            for g, i, j, own, cls, n, p, comp in zip(*(batch.column(k).to_pylist() for k in range(8))):
-                if (g, i, j) != now:
-                    if len(held) > 1:
-                        for part in product():
-                            parts.append(part)
-                            size += len(part)
-                    held, now = [], (g, i, j)
-                    if size > 1 << 16:
-                        yield out()
-                        parts, size = [], 0
-                held.append((own, cls, n, p, comp))
-        if len(held) > 1:
-            parts += list(product())
+            for k, (lead, i, j, own, cls, comp) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)))):
+                if (lead, i, j) != now:
+                    if parts:
+                        product()
+                    now, parts = (lead, i, j), []
+                parts.append((own, cls, comp, np.frombuffer(batch.column(6)[k].as_py(), np.uint64)))
+            if len(a_out) > 1 << 12:
+                yield out()
         if parts:
+            product()
+        if a_out:
             yield out()
 
-    pairs = rows.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(run, ", ".join(f"{x} long" for x in ("a", "b", "na", "nb", "pa", "pb", "common")))
-    return pairs.groupBy("a", "b", "na", "nb", "pa", "pb").agg(F.sum("common").alias("common"))
+    return rows.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, block: int = 256, frequent: int = 1 << 18) -> DataFrame:
+def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, block: int = 512, frequent: int = 1 << 18) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id (the smallest id reachable by links)."""
-    t = percent / 100
+    with small_batches(df.sparkSession):
+        return _near_components(df, id_col, text_col, n, percent, block, frequent)
+
+
+def _near_components(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, block: int, frequent: int) -> DataFrame:
+    t, spark = percent / 100, df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = settle(scan_sets(docs, n), "sets")
     hot = found.where("frequent").groupBy("a").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "a").limit(frequent).collect()  # at most `frequent` rows
@@ -308,27 +481,32 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hot_table = (table[by], place[by])
     nodes = found.where("not frequent").select(F.col("doc").alias("id"), F.col("a").alias("cls"), F.col("b").alias("check"), F.col("n").alias("size"))
     classes = settle(nodes.where("size > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("doc")), "classes")
-    posts = settle(shared_columns(prefix_entries(docs, n, t, hot_table)), "columns")
-    star = posts.where(~F.col("first")).groupBy(F.col("lead").alias("a"), F.col("cls").alias("b")).agg(F.first("lead_n").alias("na"), F.first("n").alias("nb"), F.first("p").alias("p"), F.count(F.lit(1)).alias("common"))
-    sized = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(t) - 1e-9)
-    # Only acceleration: pairs with a fair part of their prefixes in columns that one of them leads.
-    star = star.where(sized & (F.col("common") * 2 + F.greatest("na", "nb") - F.col("p") >= need("na", "nb", t))).select("a", "b")
-    links = verify(settle(star, "star"), classes, docs, n, percent, "star")
-    label = components(links, "near")
-    posts = posts.join(label, posts["cls"] == label["id"], "left").withColumn("comp", F.coalesce("component_id", "cls")).select("gram", "cls", "n", "p", "comp")
-    pairs = cross_pairs(settle(posts, "labelled"), block, t)
-    beyond = F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    pairs = pairs.where(sized & (F.col("common") + beyond >= need("na", "nb", t))).select("a", "b")
-    pairs = settle(pairs, "product")
-    links = links.union(verify(pairs, classes, docs, n, percent, "product"))
-    # From classes to ids: a class's rows are linked with its smallest id.
+    total = nodes.agg(F.sum("size")).first()[0] or 0
+    bits = min(16, max(5, int(total // 1_500_000).bit_length()))  # about a million n-grams a bucket
+    repeated = repeated_grams(packed_grams(docs, n, t, hot_table, bits))
+    posts = settle(shared_columns(prefix_entries(repeated, t)), "columns")
+    tidy(spark)
+    wanted = settle(posts.select("cls").distinct().join(classes, "cls").select("cls", "doc"), "wanted")
+    sets = settle(make_sets(wanted, docs, n), "whole-sets")
+    # Each row against the first rows of its columns. Labels say what that joins; they needn't be complete.
+    sized = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(t) - 1e-9
+    star = posts.select(F.explode("leads").alias("a"), F.col("cls").alias("b"), F.col("n").alias("nb")).distinct()
+    size = nodes.select(F.col("cls").alias("c"), F.col("size").alias("na")).distinct()
+    star = star.join(size, F.col("a") == F.col("c")).where(sized).select("a", "b")
+    links = settle(verify(star, sets, percent), "star")
+    label = links.groupBy(F.col("b").alias("c")).agg(F.min("a").alias("m"))
+    up = label.select(F.col("c").alias("d"), F.col("m").alias("m2"))
+    label = label.join(up, F.col("m") == F.col("d"), "left").select("c", F.coalesce("m2", "m").alias("m"))
+    posts = posts.join(label, F.col("cls") == F.col("c"), "left").withColumn("comp", F.coalesce("m", "cls")).select("gram", "cls", "n", "p", "lead", "comp")
+    links = links.union(settle(block_links(settle(posts, "labelled"), sets, block, percent), "product"))
+    tidy(spark)
+    # From classes to ids: a class's smallest id stands for it.
     first = classes.select(F.col("cls").alias("c"), "doc")
     other = classes.select(F.col("cls").alias("d"), F.col("doc").alias("doc2"))
     between = links.join(first, F.col("a") == F.col("c")).join(other, F.col("b") == F.col("d")).select(F.col("doc").alias("a"), F.col("doc2").alias("b"))
-    within = nodes.where("size > 0 and id is not null").join(classes, "cls").where("id <> doc").select(F.col("doc").alias("a"), F.col("id").alias("b"))
-    label = components(between.union(within), "whole")
-    label = label.select(F.col("id").alias("k"), "component_id")
-    out = nodes.join(label, F.col("id") == F.col("k"), "left")
+    label = components(between, "near").select(F.col("id").alias("k"), "component_id")
+    label = first.join(label, F.col("doc") == F.col("k"), "left").select("c", F.coalesce("component_id", "doc").alias("component_id"))
+    out = nodes.join(label, (F.col("cls") == F.col("c")) & (F.col("size") > 0) & F.col("id").isNotNull(), "left")
     return out.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
