@@ -141,7 +141,7 @@ def linear_fits(spark, sf):
     return series.linear_fit(curves(spark, sf), ["k"], "i", "y")
 
 
-_BLOCKS = "b AS (SELECT k, i // 5 AS block, avg(y) AS mean FROM curve GROUP BY ALL HAVING count(*) = 5)"
+_BLOCKS = "b AS (SELECT k, (i // 5)::BIGINT AS block, avg(y) AS mean FROM curve GROUP BY ALL HAVING count(*) = 5)"
 
 
 @query(f"{CURVE}, {_BLOCKS}\n--\nSELECT k, block, mean FROM b", "mean", "k, block")
