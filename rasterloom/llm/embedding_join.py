@@ -86,7 +86,7 @@ def grid(classes: DataFrame, least: float, width: int, axes: int) -> DataFrame:
                     for k, cut in enumerate(cuts):
                         radius = math.sqrt((2 - 2 * least) * (cut.stop - cut.start) / d + _SLACK)
                         z = y[:, cut][:, :axes]
-                        for rows, cells, home in _calls(z, radius, 3 * radius):
+                        for rows, cells, home in _calls(z, radius * (1 + 1e-6), 3 * radius):
                             if not len(rows):
                                 continue
                             key = np.zeros(len(rows), np.int64)
@@ -126,7 +126,7 @@ def _join(least: float, width: int):
         square = (y[:, cuts[k]] ** 2).sum(1)
         for a in range(0, len(left), 256):
             u = left[a : a + 256]
-            near = square[u][:, None] + square[right] - 2 * y[u][:, cuts[k]] @ y[right][:, cuts[k]].T <= budget[k]
+            near = square[u][:, None] + square[right] - 2 * y[u][:, cuts[k]] @ y[right][:, cuts[k]].T <= budget[k] + 1e-9
             near &= home[u][:, None] | home[right]
             near &= u[:, None] < right if i == j else True
             p, q = np.nonzero(near)
@@ -134,12 +134,10 @@ def _join(least: float, width: int):
                 m, n = u[p[s : s + (1 << 15)]], right[q[s : s + (1 << 15)]]
                 ok = (x[m] * x[n]).sum(1) >= least
                 m, n = m[ok], n[ok]
-                earlier = np.zeros(len(m), bool)
-                for b, cut in enumerate(cuts[:k]):
-                    gap = (y[m, cut] - y[n, cut]) ** 2
-                    earlier |= gap.sum(1) <= budget[b] - _SLACK / 2
-                if k:
-                    m, n = m[~earlier], n[~earlier]
+                # One rule says for every block whether it holds a pair, so that the first that does is the same everywhere.
+                holds = np.stack([((y[m, cut] - y[n, cut]) ** 2).sum(1) <= budget[b] for b, cut in enumerate(cuts[: k + 1])])
+                own = holds[k] & ~holds[:k].any(0)
+                m, n = m[own], n[own]
                 np.add.at(links, m, weight[n])
                 np.add.at(links, n, weight[m])
                 for v, w in zip(m.tolist(), n.tolist()):
