@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean_memory
+
 # Symbols
 _L, _N, _P, _A2, _A3, _WMID, _WSP, _WOTHER, _RESET = range(9)
 # States: between pieces; in letters; digits; others; white space; after a leading space; one or two letters of a contraction to come
@@ -117,7 +119,7 @@ def scan(sym: np.ndarray) -> np.ndarray:
 class Codec:
     """Ranks of a vocabulary file, with a bounded cache of encoded pieces."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 200_000):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
@@ -219,6 +221,7 @@ _CODECS: dict[str, Codec] = {}
 def codec(path: str) -> Codec:
     """One codec a worker and vocabulary."""
     if path not in _CODECS:
+        lean_memory()
         _CODECS[path] = Codec(path)
     return _CODECS[path]
 
@@ -240,7 +243,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
+        for batch in _parts(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _runs(texts):
                 ids, cuts, firsts = [], [], []
@@ -260,6 +263,13 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def _parts(batches, rows: int = 512):
+    """Batches in slices of a few rows, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for a in range(0, len(batch), rows):
+            yield batch.slice(a, rows)
+
+
 def _lists(arrays: list[np.ndarray], dtype) -> pa.Array:
     off = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
     flat = np.concatenate(arrays).astype(dtype) if arrays else np.zeros(0, dtype)
@@ -282,7 +292,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
+        for batch in _parts(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n, ids_sha, text_sha = [], [], []
             for a, b in _runs(texts):

@@ -77,6 +77,29 @@ def write_file(uri: str, chunks) -> int:
     return n
 
 
+_LEAN = False
+
+
+def lean_memory() -> None:
+    """Once a worker: memory that arrays leave goes back to the system at once.
+
+    Workers live on between stages; without this they'd keep what the largest one needed.
+    """
+    global _LEAN
+    if _LEAN:
+        return
+    _LEAN = True
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:
+        for option, value in ((-3, 1 << 20), (-1, 1 << 22), (-8, 2)):  # map from 1 MB on, trim from 4 MB on, two arenas
+            mallopt(option, value)
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Number rows 0, 1, ... in `order` without gathering them in one task.
 

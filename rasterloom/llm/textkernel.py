@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from .common import lean_memory
+
 _SEED = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE_LOWER = _BYTE.copy()
@@ -54,6 +56,7 @@ def text_chunks(column: pa.Array, chunk: int = CHUNK):
 
     Null texts count as empty. offsets has one entry more than there are rows, relative to the bytes.
     """
+    lean_memory()
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
     if column.null_count:
         column = column.fill_null("")
