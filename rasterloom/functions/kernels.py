@@ -405,23 +405,37 @@ def otsu(values: np.ndarray, bins: int = 256) -> float:
 # -- skeletons ----------------------------------------------------------------
 
 
+def _removable() -> np.ndarray:
+    """By the code of a pixel's ring: whether taking it away keeps the shape's connections, and it isn't a tip."""
+    ring = (np.arange(256)[:, None] >> np.arange(8)) & 1
+    off = 1 - ring
+    # Rising steps of the background over the four sides, counted so that a corner alone doesn't part it.
+    turns = sum(off[:, k] - off[:, k] * off[:, (k + 1) % 8] * off[:, (k + 2) % 8] for k in (0, 2, 4, 6))
+    return (turns == 1) & (ring.sum(1) > 1)
+
+
+_REMOVABLE = _removable()
+
+
 def skeleton(a: np.ndarray) -> np.ndarray:
-    """Thinning by two alternating sub-passes (Zhang and Suen) until nothing goes."""
-    s = np.pad(a.astype(np.uint8), 1)
+    """Thinning from the four sides in turn until nothing goes.
+
+    Pixels go in four fields that hold no two neighbours, so each is judged as if it went alone and the
+    shape stays connected as it was.
+    """
+    s = np.pad(a.astype(bool), 1)
+    inner = s[1:-1, 1:-1]
+    moved = lambda d: s[1 + d[0] : s.shape[0] - 1 + d[0], 1 + d[1] : s.shape[1] - 1 + d[1]]
+    y, x = np.indices(a.shape)
     while True:
-        gone = False
-        for odd in (0, 1):
-            n = [s[1 + dy : s.shape[0] - 1 + dy, 1 + dx : s.shape[1] - 1 + dx] for dy, dx in ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))]
-            count = sum(x.astype(int) for x in n)
-            turns = sum(((p == 0) & (q == 1)).astype(int) for p, q in zip(n, n[1:] + n[:1]))
-            c1 = n[0] * n[2] * n[4 if not odd else 6] == 0
-            c2 = (n[2] if not odd else n[0]) * n[4] * n[6] == 0
-            cut = (s[1:-1, 1:-1] == 1) & (count >= 2) & (count <= 6) & (turns == 1) & c1 & c2
-            if cut.any():
-                s[1:-1, 1:-1][cut] = 0
-                gone = True
-        if not gone:
-            return s[1:-1, 1:-1].astype(bool)
+        before = int(inner.sum())
+        for side in (6, 2, 4, 0):  # up, down, left, right in ring order
+            open_ = inner & ~moved(_RING[side])
+            for field in range(4):
+                code = sum(moved(d).astype(np.int64) << k for k, d in enumerate(_RING))
+                inner[open_ & _REMOVABLE[code] & (y % 2 * 2 + x % 2 == field)] = False
+        if int(inner.sum()) == before:
+            return inner.copy()
 
 
 def neighbours(a: np.ndarray, connectivity: int = 8) -> np.ndarray:
