@@ -4,85 +4,89 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import series
-
 FEATURES = ("exp_intercept", "exp_slope", "exp_start", "exp_end", "exp_r2", "lin_intercept", "lin_slope", "lin_start", "lin_end", "lin_r2", "rupture_time", "rupture_value")
 
 
-def prepare(df: DataFrame, keys: Sequence[str], index: str, value: str, first_frame: int = 1) -> DataFrame:
-    """Drops what is before the first frame and a leading zero, numbers the rest from 0, and lifts zeros to the smallest positive value. Keys without a positive value go."""
-    w = Window.partitionBy(*keys).orderBy("__o")
-    number = (F.row_number().over(w) - 1).cast("int")
-    d = df.where(F.col(value).isNotNull()).select(*keys, F.col(index).alias("__o"), F.col(value).cast("double").alias("y"))
-    d = d.withColumn("i", number).where(F.col("i") >= first_frame - 1)
-    d = d.withColumn("i", number).where("not (i = 0 and y = 0)").withColumn("i", number)
-    low = F.min(F.when(F.col("y") > 0, F.col("y"))).over(Window.partitionBy(*keys))
-    return d.withColumn("low", low).where("low is not null").select(*keys, "i", F.when(F.col("y") == 0, F.col("low")).otherwise(F.col("y")).alias("y"))
-
-
-def limits(prepared: DataFrame, keys: Sequence[str], block: int = 5) -> DataFrame:
-    """Per key: range, direction, rupture index (null: censored), and the ends of the window search."""
-    all_ = Window.partitionBy(*keys)
-    d = prepared.withColumn("n", F.count(F.lit(1)).over(all_)).withColumn("y1", F.max(F.when(F.col("i") == F.least(F.lit(1), F.col("n") - 1), F.col("y"))).over(all_))
-    d = d.withColumn("y0", F.max(F.when(F.col("i") == 0, F.col("y"))).over(all_)).withColumn("yn", F.max(F.when(F.col("i") == F.col("n") - 1, F.col("y"))).over(all_))
-    d = d.withColumn("span", F.max("y").over(all_) - F.min("y").over(all_)).withColumn("top", F.max("y").over(all_)).withColumn("up", F.col("yn") >= F.col("y0"))
-    beyond = lambda share: F.when(F.col("up"), F.col("y") > F.col("y1") + share * F.col("span")).otherwise(F.col("y") < F.col("y1") - share * F.col("span"))
-    flags = d.groupBy(*keys).agg(F.first("n").alias("n"), F.first("span").alias("span"), F.first("top").alias("top"), F.first("up").alias("up"), F.min(F.when(beyond(0.1), F.col("i"))).alias("max_start"), F.min(F.when(beyond(0.01), F.col("i"))).alias("max_exp_start"))
-    turns = []
-    for rising in (True, False):
-        s = series.slope_shifts(prepared, list(keys), "i", "y", block, rising).withColumn("rises", F.lit(rising))
-        turns.append(s)
-    shifts = turns[0].unionByName(turns[1]).select(*keys, "rises", ((F.col("block") + 1) * block - 1).alias("i"))
-    hit = d.where(beyond(0.9)).select(*keys, "i", "up").join(shifts, [*keys, "i"]).where("up = rises").groupBy(*keys).agg(F.min("i").alias("rupture"))
-    return flags.join(hit, list(keys), "left").withColumn("max_end", F.coalesce("rupture", F.col("n") - 1))
-
-
-def window_fits(prepared: DataFrame, lim: DataFrame, keys: Sequence[str], time_step: float = 1.0) -> DataFrame:
-    """(keys, kind, i, j, slope, intercept, r2) of every window [i, j] with enough change; closed forms over prefix sums.
-
-    A series is short (one value a frame); series are many. Windows of a series are made from its own
-    prefix sums by a join on the key.
+def prepare(y: np.ndarray, first_frame: int = 1) -> np.ndarray:
+    """Without what is before the first frame and without a leading zero; other zeros become the smallest positive value. Nothing is left without one."""
+    y = np.asarray(y, float)[first_frame - 1 :]
+    y = y[1:] if len(y) and y[0] == 0 else y
+    low = y[y > 0]
+    return np.where(y == 0, low.min(), y) if len(low) else y[:0]
+
+
+def best_window(z: np.ndarray, allowed: np.ndarray, starts: int, first_end: int, time_step: float):
+    """(intercept, slope, start, end, r2) of the straight window [i, j] with the highest r2, the first of equals; allowed[i, j - first_end].
+
+    Every window's fit follows from prefix sums, so all are tried at once.
     """
-    w = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = prepared.join(lim, list(keys)).withColumn("t", F.col("i") * time_step)
-    logged = F.log(F.greatest(F.when(F.col("up"), F.col("y")).otherwise(2 * F.col("top") - F.col("y")), F.lit(1e-12)))
-    d = d.withColumn("z", logged)
-    sums = {"s1": F.lit(1.0), "st": F.col("t"), "stt": F.col("t") * F.col("t")}
-    for v in ("y", "z"):
-        sums |= {f"s{v}": F.col(v), f"st{v}": F.col("t") * F.col(v), f"s{v}{v}": F.col(v) * F.col(v)}
-    p = d.select(*keys, "i", "y", "z", "t", "span", "max_start", "max_exp_start", "max_end", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
-    own = {"s1": F.lit(1.0), "st": F.col("t"), "stt": F.col("t") * F.col("t"), "sy": F.col("y"), "sty": F.col("t") * F.col("y"), "syy": F.col("y") * F.col("y"), "sz": F.col("z"), "stz": F.col("t") * F.col("z"), "szz": F.col("z") * F.col("z")}
-    a = p.where("i <= max_start").select(*keys, F.col("i").alias("i"), F.col("y").alias("yi"), "max_exp_start", *[(F.col(n) - own[n]).alias(f"a_{n}") for n in sums])
-    b = p.where("i >= max_start and i <= max_end").select(*keys, F.col("i").alias("j"), F.col("y").alias("yj"), "span", *[F.col(n).alias(f"b_{n}") for n in sums])
-    pair = a.join(b, list(keys)).where("abs(yj - yi) > 0.5 * span and j > i")
-    s = {n: F.col(f"b_{n}") - F.col(f"a_{n}") for n in sums}
-
-    def fit(v: str):
-        n, st, sv = s["s1"], s["st"], s[f"s{v}"]
-        xx, xy, yy = s["stt"] - st * st / n, s[f"st{v}"] - st * sv / n, s[f"s{v}{v}"] - sv * sv / n
-        slope = F.coalesce(xy / F.when(xx > 0, xx), F.lit(0.0))
-        return slope, (sv - slope * st) / n, F.coalesce(xy * xy / F.when((xx > 0) & (yy > 0), xx * yy), F.lit(0.0))
-
-    lin, exp = fit("y"), fit("z")
-    head = [*keys, "i", "j"]
-    one = pair.select(*head, F.lit("lin").alias("kind"), lin[0].alias("slope"), lin[1].alias("intercept"), lin[2].alias("r2"))
-    two = pair.where("i < max_exp_start").select(*head, F.lit("exp").alias("kind"), exp[0].alias("slope"), exp[1].alias("intercept"), exp[2].alias("r2"))
-    return one.unionByName(two)
+    if not allowed.any():
+        return (None,) * 5
+    t = np.arange(len(z)) * time_step
+    sums = [np.concatenate([[0.0], np.cumsum(v)]) for v in (np.ones(len(z)), t, t * t, z, t * z, z * z)]
+    ends = np.arange(first_end, first_end + allowed.shape[1])
+    n, st, stt, sz, stz, szz = (c[ends + 1][None, :] - c[:starts][:, None] for c in sums)
+    n = np.where(n > 0, n, 1.0)
+    xx, xz, zz = stt - st * st / n, stz - st * sz / n, szz - sz * sz / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r2 = np.where((xx > 0) & (zz > 0), xz * xz / (xx * zz), 0.0)
+        slope = np.where(xx > 0, xz / xx, 0.0)
+    i, j = np.unravel_index(np.where(allowed, np.round(r2, 10), -1.0).argmax(), allowed.shape)
+    return float((sz[i, j] - slope[i, j] * st[i, j]) / n[i, j]), float(slope[i, j]), int(i), int(ends[j]), float(r2[i, j])
+
+
+def series_features(y: np.ndarray, time_step: float = 1.0, first_frame: int = 1, block: int = 5):
+    """FEATURES of one curve and whether its end is censored; None if nothing of it is positive."""
+    y = prepare(y, first_frame)
+    n = len(y)
+    if not n:
+        return None
+    up, span, y1 = y[-1] >= y[0], float(np.ptp(y)), y[min(1, n - 1)]
+    beyond = lambda share: y > y1 + share * span if up else y < y1 - share * span
+    first = lambda hit: int(hit.argmax()) if hit.any() else None
+    means = y[: n // block * block].reshape(-1, block).mean(1)
+    change, step = np.diff(means), float(np.diff(y).mean()) if n > 1 else 0.0
+    turns = (np.flatnonzero(change < step if up else change > step) + 1) * block - 1
+    turns = turns[beyond(0.9)[turns]]
+    rupture = int(turns[0]) if len(turns) else None
+    last, starts, exp_starts = n - 1 if rupture is None else rupture, first(beyond(0.1)), first(beyond(0.01))
+    lin = exp = (None,) * 5
+    if starts is not None and last >= starts:
+        ends = np.arange(starts, last + 1)
+        allowed = (np.abs(y[ends][None, :] - y[: starts + 1][:, None]) > 0.5 * span) & (ends[None, :] > np.arange(starts + 1)[:, None])
+        lin = best_window(y, allowed, starts + 1, starts, time_step)
+        some = min(exp_starts or 0, starts + 1)
+        if some:
+            exp = best_window(np.log(np.maximum(y if up else 2 * y.max() - y, 1e-12)), allowed[:some], some, starts, time_step)
+    end = (None, None) if rupture is None else (rupture * time_step, float(y[rupture]))
+    return *exp, *lin, *end, rupture is None
 
 
 def features(df: DataFrame, keys: Sequence[str], index: str, value: str, time_step: float = 1.0, first_frame: int = 1) -> DataFrame:
-    """The twelve growth features and is_censored by key; null where nothing fits. Of equal fits the first in (i, j) order."""
-    prepared = prepare(df, keys, index, value, first_frame)
-    lim = limits(prepared, keys)
-    fits = window_fits(prepared, lim, keys, time_step)
-    best = fits.groupBy(*keys, "kind").agg(F.max_by(F.struct("i", "j", "slope", "intercept", "r2"), F.struct(F.round("r2", 10), -F.col("i"), -F.col("j"))).alias("f"))
-    flat = best.groupBy(*keys).agg(*[F.max(F.when(F.col("kind") == k, F.col(f"f.{src}"))).alias(f"{k}_{out}") for k in ("exp", "lin") for src, out in (("intercept", "intercept"), ("slope", "slope"), ("i", "start"), ("j", "end"), ("r2", "r2"))])
-    rupture = prepared.join(lim.select(*keys, F.col("rupture").alias("i")), [*keys, "i"]).select(*keys, (F.col("i") * time_step).alias("rupture_time"), F.col("y").alias("rupture_value"))
-    out = lim.select(*keys).join(flat, list(keys), "left").join(rupture, list(keys), "left")
-    return out.select(*keys, *FEATURES, F.col("rupture_time").isNull().alias("is_censored"))
+    """The twelve growth features and is_censored by key; null where nothing fits, no row where nothing is positive.
+
+    A curve has one value a frame: curves are packed by key, one shuffle in all, and fitted in Arrow batches.
+    """
+    point = F.struct(F.col(index).alias("i"), F.col(value).cast("double").alias("v"))
+    packed = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(point)).alias("s")).select(*keys, F.col("s.v").alias("y"))
+    types = {f: "int" if f.endswith(("start", "end")) else "double" for f in FEATURES} | {"is_censored": "boolean"}
+    arrow = {"int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+
+    def run(batches):
+        for batch in batches:
+            got = [series_features(np.asarray(y.values), time_step, first_frame) for y in batch.column(len(keys))]
+            on = pa.array([g is not None for g in got])
+            rows = [g for g in got if g is not None]
+            own = [c.filter(on) for c in batch.columns[: len(keys)]]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array([r[i] for r in rows], arrow[t]) for i, t in enumerate(types.values()))], names=[*keys, *types])
+
+    head = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return packed.mapInArrow(run, f"{head}, " + ", ".join(f"{n} {t}" for n, t in types.items()))
 
 
 def transitions(frames: DataFrame, keys: Sequence[str], share: float = 0.9) -> DataFrame:
