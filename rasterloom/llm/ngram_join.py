@@ -102,18 +102,20 @@ _PACKED = "bucket int, task int, owners binary, counts binary, keys binary, doc
 _KEY = 5
 
 
-def packed_grams(df: DataFrame, n: int, t: float, frequent: np.ndarray, bits: int) -> DataFrame:
-    """Every class's n-grams but the frequent ones, by hash bucket, packed; and a head row for each class. A task sends a class once.
+def packed_grams(df: DataFrame, n: int, t: float, frequent: np.ndarray, bits: int, firsts: np.ndarray) -> DataFrame:
+    """Every class's n-grams but the frequent ones, by hash bucket, packed; and a head row for each class.
+
+    firsts: bitmap of the classes' smallest ids, so that hardly any class is sent twice; a task sends it once.
 
     A row is either a packed run (bucket >= 0: owners' numbers, counts and keys), a head (bucket -1:
     task, doc, cls, n, late), or the frequent n-grams of a class that could need them (bucket -2).
     """
-    sent = df.sparkSession.sparkContext.broadcast(frequent)
+    sent = df.sparkSession.sparkContext.broadcast((frequent, firsts))
 
     def run(batches):
         from pyspark import TaskContext
 
-        hot, task, seen = sent.value, TaskContext.get().partitionId(), set()
+        (hot, known), task, seen = sent.value, TaskContext.get().partitionId(), set()
         names = [f.split()[0] for f in _PACKED.split(", ")]
         types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
         grams_held, sizes, first, rows, number = [], [], 0, [], 0
@@ -138,7 +140,8 @@ def packed_grams(df: DataFrame, n: int, t: float, frequent: np.ndarray, bits: in
 
         held = 0
         for batch in batches:
-            for _, grams in gram_sets(batch.column(0), n):
+            some = batch.filter(pa.array(sketch.test(known, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))))
+            for _, grams in gram_sets(some.column(1), n):
                 cls = _class_of(grams)[0]
                 if cls in seen:
                     continue
@@ -162,7 +165,7 @@ def packed_grams(df: DataFrame, n: int, t: float, frequent: np.ndarray, bits: in
         if rows:
             yield out()
 
-    return df.select("text").mapInArrow(run, _PACKED)
+    return df.select("id", "text").where("id is not null").mapInArrow(run, _PACKED)
 
 
 _REPEATED = "task int, doc int, df int, gram long, cls long, n int, late int"
@@ -483,7 +486,8 @@ def _near_components(df: DataFrame, id_col: str, text_col: str, n: int, percent:
     classes = settle(nodes.where("size > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("doc")), "classes")
     total = nodes.agg(F.sum("size")).first()[0] or 0
     bits = min(16, max(5, int(total // 1_500_000).bit_length()))  # about a million n-grams a bucket
-    repeated = repeated_grams(packed_grams(docs, n, t, hot_table, bits))
+    firsts = sketch.bitmap_of(classes.select("doc"), min(26, sketch.bits_for(classes.count())))
+    repeated = repeated_grams(packed_grams(docs, n, t, hot_table, bits, firsts))
     posts = settle(shared_columns(prefix_entries(repeated, t)), "columns")
     tidy(spark)
     wanted = settle(posts.select("cls").distinct().join(classes, "cls").select("cls", "doc"), "wanted")
