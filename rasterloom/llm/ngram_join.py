@@ -34,14 +34,13 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .common import components, settle, small_batches, tidy
-from .textkernel import find_words, gram_hashes, mix, text_chunks, whole_hash, word_hashes
+from .textkernel import gram_hashes, mix, row_words, text_chunks, whole_hash
 
 
 def gram_sets(column: pa.Array, n: int):
     """(row, sorted distinct n-gram hashes) of every row with words."""
     for a, b, buf, offsets in text_chunks(column):
-        starts, ends, first = find_words(buf, offsets)
-        words = word_hashes(buf, starts, ends, lower=True)
+        words, first = row_words(buf, offsets, lower=True)
         grams = gram_hashes(words, n)
         f = first.tolist()
         for k in range(b - a):

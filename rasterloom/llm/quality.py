@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import CHUNK, find_words, gram_hashes, text_chunks, word_hashes
+from .textkernel import CHUNK, gram_hashes, row_words, text_chunks
 
 BITS = 18
 
@@ -28,8 +28,7 @@ BITS = 18
 def features(column: pa.Array):
     """Runs of rows as (first row, end row, feature ids, row bounds): each row's ids once, in order."""
     for a, b, buf, offsets in text_chunks(column, CHUNK):
-        starts, ends, first = find_words(buf, offsets)
-        words = word_hashes(buf, starts, ends, lower=True)
+        words, first = row_words(buf, offsets, lower=True)
         row = np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(first))
         pairs = gram_hashes(words, 2, salt=7)
         same = row[1:] == row[:-1]

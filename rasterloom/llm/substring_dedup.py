@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .common import settle
-from .textkernel import _GRAMS, find_words, gram_hashes, mix, text_chunks, word_hashes
+from .textkernel import _GRAMS, gram_hashes, mix, row_words, text_chunks
 
 _LAST = (1 << 63) - 1
 
@@ -48,8 +48,7 @@ def _window_keys(words: np.ndarray, window: int, gram: int) -> np.ndarray:
 def stretches(column: pa.Array, window: int, gram: int):
     """Runs of windows of one row with one key: (first row, row of each, first word in its text, windows, key, all word hashes, first word among those)."""
     for a, b, buf, offsets in text_chunks(column):
-        starts, ends, first = find_words(buf, offsets)
-        words = word_hashes(buf, starts, ends)
+        words, first = row_words(buf, offsets)
         if len(words) < window:
             continue
         keys = _window_keys(words, window, gram)

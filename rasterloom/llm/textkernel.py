@@ -99,6 +99,25 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     return mix((total[ends] - total[starts]) * down[starts])
 
 
+def row_words(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, index of each row's first word, with the total at the end). A long row is cut at white space on the way."""
+    if len(buf) <= 2 * CHUNK or len(offsets) > 2:
+        starts, ends, first = find_words(buf, offsets)
+        return word_hashes(buf, starts, ends, lower), first
+    parts, a = [], 0
+    while a < len(buf):
+        b = min(a + CHUNK, len(buf))
+        while b < len(buf) and _IN_WORD[buf[b]]:  # a word isn't cut
+            more = np.flatnonzero(~_IN_WORD[buf[b : b + 4096]])
+            b = b + int(more[0]) if len(more) else min(b + 4096, len(buf))
+        piece = buf[a:b]
+        starts, ends, _ = find_words(piece, np.array([0, len(piece)]))
+        parts.append(word_hashes(piece, starts, ends, lower))
+        a = b
+    words = np.concatenate(parts)
+    return words, np.array([0, len(words)])
+
+
 def gram_hashes(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """Hash of every run of k consecutive words; entry i starts at word i. Runs may cross rows: callers mask those."""
     n = len(words) - k + 1

@@ -59,6 +59,15 @@ def test_words_hash_alike_whatever_stands_around_them():
     assert len(set(seen.values())) == 3
 
 
+def test_long_rows_hash_like_short_ones():
+    text = " ".join(f"word{k % 977}" for k in range(600_000)).encode()
+    buf = np.frombuffer(text, np.uint8)
+    assert len(buf) > 4 * textkernel.CHUNK
+    words, first = textkernel.row_words(buf, np.array([0, len(buf)]))
+    one, _ = textkernel.row_words(np.frombuffer(b"word5 word976", np.uint8), np.array([0, 13]))
+    assert first.tolist() == [0, 600_000] and words[5] == one[0] and (words[976::977] == one[1]).all()
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, 1000 + k) for k in range(1, 60)]
