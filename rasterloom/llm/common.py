@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: Words are separated by ASCII white space only.
 WORD = r"[^\x20\x09-\x0D]+"
+_MADE: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -29,7 +30,17 @@ def shared_root(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared root."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return _MADE[-1]
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes the folders that this driver has made, once their results aren't needed any more; returns how many were there."""
+    n = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

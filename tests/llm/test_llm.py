@@ -87,6 +87,14 @@ def test_components_match_union_find(spark):
     assert common.components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
 
 
+def test_sweep_removes_what_was_made(spark):
+    import os
+
+    path = common.settle(spark.range(3), "swept").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and common.sweep(spark) > 0 and not os.path.exists(path)
+    assert common.sweep(spark) == 0
+
+
 def test_global_rank(spark):
     d = spark.range(500).select((F.col("id") * 37 % 501).alias("v")).repartition(7)
     assert [r["rank"] for r in common.global_rank(d, [F.col("v")]).orderBy("v").collect()] == list(range(500))
