@@ -19,8 +19,10 @@ from __future__ import annotations
 import mmap
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -46,27 +48,29 @@ class WordTokenizer:
     could hold a special token's string are encoded whole.
     """
 
-    #: ASCII marks but the apostrophe, after a letter and at the end of a word.
-    _MARKS = rb"(?<=[a-z])([!-&(-/:-@\[-`{-~]+)(?=[ \t\n\x0b\x0c\r]|$)"
+    #: ASCII marks but the apostrophe, after a letter and up to the end of a word. The first mark is tested before the letter: that is twice as fast.
+    _MARKS = rb"[!-&(-/:-@\[-`{-~](?<=[a-z].)[!-&(-/:-@\[-`{-~]*(?=[ \t\n\x0b\x0c\r]|$)"
 
     def __init__(self, path: str, cache: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
-        self.kind = f"<u{self.width}"
+        self.code = "H" if self.width == 2 else "I"
         self.cut = re.compile(self._MARKS).sub
         self.cache: dict[bytes, bytes] = {}
         self.most = cache
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder != "little":
+            raise RuntimeError("files are little-endian; this machine is not")
+        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Each text's ids, the end id included, as they stand in the file."""
-        cut, end = self.cut, np.array([end_id], self.kind).tobytes()
+        cut, end = self.cut, array(self.code, [end_id]).tobytes()
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        split = [None if b"<|" in r else cut(rb" \1", r.lower()).split() for r in raw]
+        split = [None if b"<|" in r else cut(rb" \g<0>", r.lower()).split() for r in raw]
         seen = set().union(*[s for s in split if s])
         if len(self.cache) > self.most:  # what is in use now stays
             self.cache = {w: self.cache[w] for w in seen.intersection(self.cache)}
