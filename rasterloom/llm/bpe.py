@@ -119,12 +119,14 @@ def scan(sym: np.ndarray) -> np.ndarray:
 class Codec:
     """Ranks of a vocabulary file, with a bounded cache of encoded pieces."""
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 120_000):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.names = {v: str(v) for v in self.bytes_of}
+        # Two generations: what the older one has and is used again moves on, the rest is dropped with it.
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.most = cache
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
@@ -179,10 +181,10 @@ class Codec:
         return tuple(out)
 
     def ids_of(self, piece: str) -> tuple[int, ...]:
-        got = self.merge(piece.encode("utf-8", "surrogatepass"))
+        got = self.cache.get(piece) or self.older.get(piece) or self.merge(piece.encode("utf-8", "surrogatepass"))
         if len(piece) <= 64:
             if len(self.cache) >= self.most:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
             self.cache[piece] = got
         return got
 
