@@ -58,6 +58,8 @@ class WordTokenizer:
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.cut = re.compile(self._MARKS).sub
+        marks = [(t.content.encode(), i) for i, t in self.tok.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        self.mark = next((m for m in marks if m[0].startswith(b"<|")), None)  # texts with "<|" don't come here
         self.cache: dict[bytes, bytes] = {}
         self.most = cache
 
@@ -66,6 +68,23 @@ class WordTokenizer:
             raise RuntimeError("files are little-endian; this machine is not")
         return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of single words, many to a call: joined by a special token, which keeps them apart, and cut at its id."""
+        if self.mark is None:
+            return self._plain([w.decode("utf-8", "surrogatepass") for w in words])
+        text, mark = self.mark
+        groups = [words[a : a + 256] for a in range(0, len(words), 256)]
+        joined = [text.join(g).decode("utf-8", "surrogatepass") for g in groups]
+        out: list[bytes] = []
+        for group, e in zip(groups, self.tok.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(e.ids, f"<u{self.width}")
+            at = np.flatnonzero(ids == mark)
+            if len(at) != len(group) - 1:
+                raise RuntimeError("a word's ids hold the mark between words")
+            raw, cuts = ids.tobytes(), (at * self.width).tolist()
+            out += [raw[a:b] for a, b in zip([0, *(c + self.width for c in cuts)], [*cuts, len(raw)])]
+        return out
+
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Each text's ids, the end id included, as they stand in the file."""
         cut, end = self.cut, array(self.code, [end_id]).tobytes()
@@ -77,7 +96,7 @@ class WordTokenizer:
         new = list(seen.difference(self.cache))
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
-            self.cache.update(zip(part, self._plain([w.decode("utf-8", "surrogatepass") for w in part])))
+            self.cache.update(zip(part, self._words(part)))
         get = self.cache.__getitem__
         return [b"".join(self._plain([t]) if s is None else map(get, s)) + end for t, s in zip(texts, split)]
 
