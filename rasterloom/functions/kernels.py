@@ -6,6 +6,7 @@ All take and return small 2-D arrays; operators run them per frame inside Arrow-
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -288,7 +289,15 @@ def gaussian_1d(sigma: float, order: int = 0) -> np.ndarray:
     return g
 
 
+@lru_cache(maxsize=256)
+def _along(n: int, sigma: float, order: int) -> np.ndarray:
+    """The 1-D filter on columns of n pixels as a matrix."""
+    return convolve(np.eye(n), gaussian_1d(sigma, order)[::-1, None])
+
+
 def gaussian(a: np.ndarray, sigma: float, order: tuple[int, int] = (0, 0)) -> np.ndarray:
+    if max(a.shape) <= 128:
+        return _along(a.shape[0], float(sigma), order[0]) @ a @ _along(a.shape[1], float(sigma), order[1]).T
     return convolve(convolve(a, gaussian_1d(sigma, order[0])[::-1, None]), gaussian_1d(sigma, order[1])[None, ::-1])
 
 
@@ -306,8 +315,13 @@ def butterworth(a: np.ndarray, cutoff: float = 0.005, order: float = 2.0) -> np.
 
 
 def hessian(a: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues of the scale-normalised second derivatives, by size of their amounts."""
-    yy, xx, yx = (gaussian(a, sigma, o) * sigma**2 for o in ((2, 0), (0, 2), (1, 1)))
+    """Eigenvalues of the scale-normalised second derivatives, by size of their amounts.
+
+    First derivatives are taken twice at sigma over root 2, so that what is flat gives 0 at any scale.
+    """
+    half = sigma / math.sqrt(2)
+    dy, dx = gaussian(a, half, (1, 0)), gaussian(a, half, (0, 1))
+    yy, xx, yx = (gaussian(d, half, o) * sigma**2 for d, o in ((dy, (1, 0)), (dx, (0, 1)), (dy, (0, 1))))
     mid, root = (yy + xx) / 2, np.sqrt(((yy - xx) / 2) ** 2 + yx**2)
     e = np.stack([mid - root, mid + root])
     e = np.take_along_axis(e, np.abs(e).argsort(0), 0)
@@ -402,6 +416,21 @@ def otsu(values: np.ndarray, bins: int = 256) -> float:
     return float(mid[int((w1[:-1] * w2[1:] * (m1[:-1] - m2[1:]) ** 2).argmax())])
 
 
+def rolling_otsu(a: np.ndarray, size: int = 10) -> np.ndarray:
+    """Pixels above the Otsu thresholds of more than half of the windows over them; windows overlap by half, flat ones have nothing."""
+    half = size // 2
+    places = [np.floor(np.linspace(half, n - half, max(math.ceil(n / half) - 1, 1))).astype(int) for n in a.shape]
+    votes, count = np.zeros(a.shape), np.zeros(a.shape)
+    for y in places[0]:
+        for x in places[1]:
+            window = (slice(max(y - half, 0), y + half), slice(max(x - half, 0), x + half))
+            v = a[window]
+            count[window] += 1
+            if v.max() > 0 and np.ptp(v) > 0.5:
+                votes[window] += v > otsu(v)
+    return votes > 0.5 * count
+
+
 # -- skeletons ----------------------------------------------------------------
 
 

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from . import frames
 
-#: Sigma sets that are tried.
-FRANGI_SIGMAS = ((0.1,), (0.25,), (0.5,), (0.75,), (1.0,), (2.0,), (0.5, 1.0), (1.0, 2.0), (0.5, 1.0, 2.0))
-SATO_SIGMAS = ((0.1,), (0.25,), (0.5,), (0.75,), (1.0,), (2.0,), (3.0,), (0.5, 1.0), (1.0, 2.0), (2.0, 3.0), (0.5, 1.0, 2.0), (1.0, 2.0, 3.0))
+#: Sigma sets that are tried, from fine fibres to wide veins.
+FRANGI_SIGMAS = ((0.75,), (0.5, 1.0), (1.0, 2.0), (1.0, 2.0, 3.0), (0.3, 0.5, 0.8), (0.5, 1.0, 2.0, 4.0), (1.0, 2.0, 4.0, 8.0), (0.5, 1.0, 1.5, 2.5), (0.5, 1.5, 3.0, 6.0, 10.0))
+SATO_SIGMAS = (
+    (0.01, 0.05, 0.1, 0.15), (0.1, 0.2, 0.4, 0.8), (0.25, 0.75), (0.1, 0.2, 0.4, 0.8, 1.6), (0.8, 1.5), (1.5, 3.0), (0.8, 1.5, 2.5), (1.0, 2.5, 5.0),
+    (0.5, 1.0, 2.0), (1.5, 2.5, 4.0), (1.0, 1.5, 2.0, 3.0), (2.0, 5.0, 10.0, 15.0),
+)
 
 
 def quality(a: np.ndarray) -> float:
@@ -22,32 +25,56 @@ def quality(a: np.ndarray) -> float:
     return K.closed_length(K.trace(K.largest(a))) ** 2 / n if n else 0.0
 
 
-def detect(a: np.ndarray, method: str, sigmas, black: bool = True) -> np.ndarray:
-    ridge = {"frangi": K.frangi, "sato": K.sato}[method](a, sigmas, black=black)
-    return ridge > K.otsu(ridge) if ridge.max() > ridge.min() else np.zeros(a.shape, bool)
+def ridges(a: np.ndarray, method: str, sigmas, black: bool = True, seen: dict | None = None) -> np.ndarray:
+    """The strongest response of all scales; `seen` keeps the responses of a frame's scales for its other sets."""
+    seen = {} if seen is None else seen
+    for s in sigmas:
+        if (method, s) not in seen:
+            seen[method, s] = {"frangi": K.frangi, "sato": K.sato}[method](a, (s,), black=black)
+    return np.maximum.reduce([seen[method, s] for s in sigmas])
 
 
-def method_scores(df: DataFrame, keys: Sequence[str], value: str = "v", black: bool = True) -> DataFrame:
-    """(keys, method, variant, quality) of all variants on every frame."""
+def segment(ridge: np.ndarray, rolling: bool = False) -> np.ndarray:
+    """Above the frame's Otsu threshold, or by the votes of rolling windows."""
+    if rolling:
+        return K.rolling_otsu(ridge)
+    return ridge > K.otsu(ridge) if ridge.max() > ridge.min() else np.zeros(ridge.shape, bool)
+
+
+def detect(a: np.ndarray, method: str, sigmas, black: bool = True, rolling: bool = False) -> np.ndarray:
+    return segment(ridges(a, method, sigmas, black), rolling)
+
+
+def method_scores(df: DataFrame, keys: Sequence[str], value: str = "v", black: bool = True, rolling: bool = True) -> DataFrame:
+    """(keys, method, variant, rolling, quality) of all variants on every frame, each by one threshold and, if `rolling`, by windows too."""
 
     def kernel(a, y0, x0):
+        seen: dict = {}
+        found: dict[bytes, float] = {}
         for method, sets in (("frangi", FRANGI_SIGMAS), ("sato", SATO_SIGMAS)):
             for i, s in enumerate(sets):
-                yield method, i, float(quality(detect(a, method, s, black)))
+                ridge = ridges(a, method, s, black, seen)
+                for roll in (False, True) if rolling else (False,):
+                    n = segment(ridge, roll)
+                    if (mask := n.tobytes()) not in found:
+                        found[mask] = float(quality(n))
+                    yield method, i, roll, found[mask]
 
-    return frames.run(frames.pack(df, keys, value), keys, kernel, "method string, variant int, quality double")
+    return frames.run(frames.pack(df, keys, value), keys, kernel, "method string, variant int, rolling boolean, quality double")
 
 
 def best_method(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return scores.groupBy(*keys).agg(F.max_by(F.struct("method", "variant"), F.struct("quality", F.col("method") == "frangi", -F.col("variant"))).alias("m"), F.max("quality").alias("quality")).select(*keys, "m.method", "m.variant", "quality")
+    """(keys, method, variant, rolling, quality); of equals the first in the order of the sets, one threshold before windows."""
+    first = F.struct("quality", F.col("method") == "frangi", -F.col("variant"), ~F.col("rolling"))
+    return scores.groupBy(*keys).agg(F.max_by(F.struct("method", "variant", "rolling"), first).alias("m"), F.max("quality").alias("quality")).select(*keys, "m.method", "m.variant", "m.rolling", "quality")
 
 
-def networks(df: DataFrame, keys: Sequence[str], method: str, variant: int, value: str = "v", black: bool = True, width: int = 3, one: bool = True) -> DataFrame:
+def networks(df: DataFrame, keys: Sequence[str], method: str, variant: int, value: str = "v", black: bool = True, width: int = 3, one: bool = True, rolling: bool = False) -> DataFrame:
     """Network pixels by one method, small gaps closed, the largest component alone if `one`."""
     sigmas = (FRANGI_SIGMAS if method == "frangi" else SATO_SIGMAS)[variant]
 
     def kernel(a, y0, x0):
-        n = detect(a, method, sigmas, black)
+        n = detect(a, method, sigmas, black, rolling)
         shape = K.disk(max(width // 2, 1))
         n = K.erode(K.dilate(n, shape), shape)
         n = K.largest(n) if one else n

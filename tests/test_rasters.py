@@ -216,6 +216,34 @@ def test_filters_and_choices(spark):
     assert {r.name for r in c.collect()} == set(K.FILTERS)
 
 
+def test_wide_veins_are_ridges(spark):
+    a = np.full((96, 96), 200.0)
+    a[:, 36:60] = 20
+    rows = [(1, int(y), int(x), float(v)) for (y, x), v in np.ndenumerate(a)]
+    d = spark.createDataFrame(rows, "img int, y int, x int, v double")
+    wide = 0
+    for method, sets in (("frangi", network.FRANGI_SIGMAS), ("sato", network.SATO_SIGMAS)):
+        for s in sets:
+            n = network.detect(a, method, s)
+            wide += n[:, 36:60].mean() > 0.9 and n.sum() < 1.1 * 96 * 24
+    assert wide >= 4 and max(map(max, network.FRANGI_SIGMAS)) == 10 and max(map(max, network.SATO_SIGMAS)) == 15
+    got = network.networks(d, ["img"], "sato", 11).collect()
+    assert len({(r.y, r.x) for r in got if 36 <= r.x < 60}) > 0.9 * 96 * 24 and len(got) < 1.1 * 96 * 24
+    scores = network.method_scores(d, ["img"]).collect()
+    assert len({(r.method, r.variant, r.rolling) for r in scores}) == 42 == len(scores)
+    best = network.best_method(network.method_scores(d, ["img"]), ["img"]).first()
+    assert best.quality == max(r.quality for r in scores)
+    assert K.hessian(np.full((9, 9), 7.0), 0.1) == pytest.approx(np.zeros((2, 9, 9)))
+
+
+def test_windows_vote():
+    on = np.tile(np.arange(60) % 8 < 4, (20, 1))
+    a = np.where(on, np.where(np.arange(60) < 32, 1.0, 20.0), 0.0)
+    n = K.rolling_otsu(a)
+    assert (n == on)[:, :20].all() and (n == on)[:, 44:].all()
+    assert not K.rolling_otsu(np.full((12, 12), 3.0)).any()
+
+
 def test_kmeans_finds_levels(spark):
     d = spark.createDataFrame([(1, i, 0, v) for i, v in enumerate([0.0, 0.1, 5.0, 5.1, 9.0])], "img int, y int, x int, v double")
     got = segmentation.kmeans_pixels(d, 3).orderBy("v").collect()
