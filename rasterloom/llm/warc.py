@@ -31,7 +31,6 @@ from .common import open_fs, scratch, settle
 _GZIP = b"\x1f\x8b\x08"
 _VERSION = b"WARC/1."
 _STEP = 1 << 20
-_MOST_HEADER = 1 << 16
 
 
 # -- writer ---------------------------------------------------------------
@@ -195,7 +194,7 @@ def _member(src: _Bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     except zlib.error as e:
         raise Bad("member checksum" if "check" in str(e) else "member") from None
     raw, end = b"".join(parts), pos - len(z.unused_data)
-    cut = raw.find(b"\r\n\r\n", 0, _MOST_HEADER)
+    cut = raw.find(b"\r\n\r\n")
     if cut < 0:
         raise Bad("header end")
     head = _parse(raw[:cut])
@@ -208,11 +207,14 @@ def _member(src: _Bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 
 
 def _plain(src: _Bytes, at: int) -> tuple[dict[str, str], bytes, int]:
-    raw = src.at(at, _MOST_HEADER)
-    cut = raw.find(b"\r\n\r\n")
-    if cut < 0:
-        raise Bad("header end")
-    head = _parse(raw[:cut])
+    if not re.fullmatch(rb"WARC/1\.[01]\r\n", src.at(at, 10)):
+        raise Bad("version line")
+    step = 1 << 16
+    while (cut := src.at(at, step).find(b"\r\n\r\n")) < 0:
+        if at + step >= src.size:
+            raise Bad("header end")
+        step *= 2
+    head = _parse(src.at(at, cut))
     n, begin = int(head["content-length"]), at + cut + 4
     if begin + n + 4 > src.size:
         raise Bad("length")

@@ -207,6 +207,15 @@ def test_salvage_recovers_what_damage_leaves(spark, tmp_path, compress):
     assert got.where("kind = 'gap'").count() == 3 and got.where("kind = 'record'").count() == 28
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_long_urls_come_back(spark, tmp_path, compress):
+    urls = ["data:," + "x y" * 100_000, "u", "data:," + "z" * 3_000_000, "v"]
+    d = spark.createDataFrame([(k, u, f"page {k} " * 50) for k, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1)
+    files = warc.write_warc(d, f"file://{tmp_path}/{compress}", compress=compress)
+    got = warc.read_warc(files.select("path")).collect()
+    assert [r.kind for r in got] == ["record"] * 4 and {r.row_id: r.url for r in got} == {k: u.replace(" ", "%20") for k, u in enumerate(urls)}
+
+
 def test_members_are_plain_gzip(spark, tmp_path):
     d = spark.createDataFrame([(1, "u", "x" * 200)], "page_id long, url string, html string")
     path = warc.write_warc(d, f"file://{tmp_path}/g").first().path.removeprefix("file://")
