@@ -131,8 +131,9 @@ def same_sized_boxes(box: DataFrame, keys: Sequence[str], height: int, width: in
 def large_components(df: DataFrame, keys: Sequence[str], tile: int = 1024, rounds: int = 40) -> DataFrame:
     """Components of images of any size: (keys, y, x, component), component = number of its first tile's label.
 
-    Tiles are labelled side by side; edges between labels of neighbouring tiles then shrink by
-    min-label steps until nothing changes. Each step is written to the checkpoint folder.
+    Tiles are labelled side by side; edges between labels of neighbouring tiles then shrink to
+    stars around the smallest labels, in about log rounds, until nothing changes; it is an error if `rounds`
+    don't suffice. Each step is written to the checkpoint folder.
     """
     tiled = df.select(*keys, "y", "x", F.floor(F.col("y") / tile).cast("int").alias("ty"), F.floor(F.col("x") / tile).cast("int").alias("tx"))
     local = components(tiled, [*keys, "ty", "tx"])
@@ -141,15 +142,24 @@ def large_components(df: DataFrame, keys: Sequence[str], tile: int = 1024, round
     steps = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
     moved = rim.select(*keys, F.col("node").alias("a"), "y", "x", F.explode(steps).alias("s")).select(*keys, "a", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
     links = moved.join(rim.select(*keys, "y", "x", F.col("node").alias("b")), [*keys, "y", "x"]).where("a <> b").select(*keys, "a", "b").distinct().checkpoint()
-    labels = local.select(*keys, "node").distinct().withColumn("root", F.col("node")).checkpoint()
+    edges = links.where("a > b").select(*keys, F.col("a").alias("u"), F.col("b").alias("v")).checkpoint()
+    before = None
     for _ in range(rounds):
-        seen = links.join(labels.withColumnRenamed("node", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("root").alias("low"))
-        now = labels.join(seen, [*keys, "node"], "left").select(*keys, "node", F.least("root", F.coalesce("low", "root")).alias("root"))
-        # A label takes its root's root, which halves the way.
-        jump = now.select(*keys, F.col("node").alias("root"), F.col("root").alias("up"))
-        now = now.join(jump, [*keys, "root"], "left").select(*keys, "node", F.least("root", F.coalesce("up", "root")).alias("root")).checkpoint()
-        if labels.join(now.withColumnRenamed("root", "new"), [*keys, "node"]).where("root <> new").isEmpty():
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
             break
-        labels = now
+        before = now
+        low = edges.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+        # Large star: larger neighbours of v, and v itself, go to the smallest neighbour of v.
+        large = edges.join(low.withColumnRenamed("u", "v"), [*keys, "v"], "left").select(*keys, "u", F.coalesce("m", "v").alias("v")).union(low.select(*keys, "u", "m"))
+        # Small star: smaller neighbours of u, and u itself, go to the smallest of them.
+        large = large.withColumn("m", F.min("v").over(Window.partitionBy(*keys, "u")))
+        pair = lambda c: F.struct(F.col(c).alias("u"), F.col("m").alias("v"))
+        both = F.explode(F.when(F.col("v") == F.col("m"), F.array(pair("u"))).otherwise(F.array(pair("u"), pair("v")))).alias("e")
+        edges = large.select(*keys, both).select(*keys, "e.u", "e.v").distinct().checkpoint()
+    else:
+        raise RuntimeError("components did not settle")
+    stars = edges.select(*keys, F.col("u").alias("node"), "v")
+    labels = local.select(*keys, "node").distinct().join(stars, [*keys, "node"], "left").select(*keys, "node", F.coalesce("v", "node").alias("root"))
     order = labels.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("__n")).withColumn("component", F.row_number().over(Window.partitionBy(*keys).orderBy("root"))).drop("__n")
     return local.select(*keys, "y", "x", "node").join(labels, [*keys, "node"]).join(order, [*keys, "root"]).select(*keys, "y", "x", "component")

@@ -151,6 +151,19 @@ def test_large_components_agree_with_the_kernel(spark):
     assert len(got) == a.sum() and len(pairs) == n.max() == len({p for p, _ in pairs})
 
 
+def test_long_winding_components_stay_whole(spark):
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir") + "/cc")
+    a = np.zeros((120, 11), bool)
+    a[:, 0] = a[:, 4] = a[-1, :5] = a[:, 8] = True
+    a[5, 10] = True
+    got = components.large_components(px(spark, a, img=1), ["img"], tile=2).collect()
+    n = K.label(a)
+    pairs = {(r.component, int(n[r.y, r.x])) for r in got}
+    assert len(got) == a.sum() and len(pairs) == n.max() == 3
+    with pytest.raises(RuntimeError):
+        components.large_components(px(spark, a, img=1), ["img"], tile=2, rounds=2)
+
+
 def test_reading_order(spark):
     a = np.zeros((11, 11), int)
     for y, x in ((1, 8), (2, 1), (1, 5), (8, 1), (9, 9), (8, 5)):
