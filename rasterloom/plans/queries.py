@@ -811,7 +811,7 @@ def logical_search(spark, sf):
 @query()
 def channel_sums(spark, sf):
     d = _bgr(spark, sf)
-    return search.search_sums(d, ["img"], search.search_channels(d, ["img"], 4))
+    return search.search_sums(d, ["img"], search.search_channels(d, ["img"], 19))
 
 
 def _analysis(spark, sf) -> pipeline.Results:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
+from ..functions import kernels as K
 from ..operators import components as C
 from ..operators import filters, segmentation
 
@@ -51,17 +54,95 @@ def search_logical(df: DataFrame, keys: Sequence[str], best: DataFrame) -> DataF
     return candidate_features(both, keys)
 
 
-def search_sums(df: DataFrame, keys: Sequence[str], best: DataFrame, rounds: int = 3) -> DataFrame:
-    """Greedy sums by image: the best channels are added one after another as long as that leaves fewer components and over nine tenths of the area.
+def _segmented(v: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Otsu's foreground of the pixels inside, turned over where it would be half of them or more; its components and area."""
+    on = inside & (v > K.otsu(v[inside]))
+    if 2 * on.sum() >= inside.sum():
+        on = inside & ~on
+    return on, int(K.label(on).max()), int(on.sum())
 
-    All prefixes of the ranking are segmented at once and the first that doesn't help ends the row.
+
+def sums(values: np.ndarray, inside: np.ndarray, best: Sequence[tuple[int, int, int]]):
+    """Combinations of one image: (kind, start, channels, factors, components, area).
+
+    values: all candidates' (candidate, y, x); best: (candidate, components, area) of each space's best channel.
+    kind "add": from each of these over all the others with factors 2 and 1; what leaves fewer components and over
+    nine tenths of the area stays in, what doesn't is passed over. "subtract": all of them, without those whose
+    removal helps in the same way, in rounds. "pca": the first component of the standardised b, g and r.
     """
-    v = channel_values(df, keys).join(best.where(F.col("place") <= rounds + 1).select(*keys, "candidate", "place"), [*keys, "candidate"])
-    w = Window.partitionBy(*keys, "y", "x").orderBy("place")
-    sums = v.select(*keys, "y", "x", F.col("place").alias("candidate"), F.sum("v").over(w).alias("v"))
-    f = candidate_features(segmentation.otsu_segmentation(sums, [*keys, "candidate"]), keys)
-    o = Window.partitionBy(*keys).orderBy("candidate")
-    helps = (F.col("components") < F.lag("components").over(o)) & (F.col("area") > 0.9 * F.lag("area").over(o))
-    f = f.withColumn("stop", F.when(F.col("candidate") == 1, 0).otherwise((~F.coalesce(helps, F.lit(False))).cast("int")))
-    f = f.withColumn("stop", F.sum("stop").over(o)).where("stop = 0")
-    return f.groupBy(*keys).agg(F.max("candidate").alias("channels"), F.max_by("components", "candidate").alias("components"), F.max_by("area", "candidate").alias("area"))
+
+    def features(weights):
+        return _segmented(sum(f * values[c] for c, f in weights.items()), inside)[1:]
+
+    helps = lambda now, before: now[0] < before[0] and now[1] > 0.9 * before[1]
+    row = lambda kind, start, weights, got: (kind, start, list(weights), [float(f) for f in weights.values()], *got)
+    for start, *before in best:
+        weights = {start: 1.0}
+        yield row("add", start, weights, before)
+        for other, *_ in reversed(best):
+            if other == start:
+                continue
+            own = weights
+            for factor in (2.0, 1.0):
+                tried = own | {other: factor}
+                got = features(tried)
+                if helps(got, before):
+                    weights, before = tried, got
+                    yield row("add", start, weights, got)
+    all_ = {c: 1.0 for c, *_ in best}
+    for _ in range(len(best) - 1):
+        if len(all_) < 2:
+            break
+        before, gone = features(all_), []
+        for c in all_:
+            tried = {k: f for k, f in all_.items() if k != c}
+            got = features(tried)
+            if helps(got, before):
+                before = got
+                gone.append(c)
+                yield row("subtract", None, tried, got)
+        if not gone:
+            break
+        all_ = {k: f for k, f in all_.items() if k not in gone}
+    spread = values[1:4][:, inside].std(1)
+    spread = np.where(spread > 0, spread, 1.0)
+    z = (values[1:4][:, inside] - values[1:4][:, inside].mean(1)[:, None]) / spread[:, None]
+    weights = dict(zip((1, 2, 3), np.linalg.eigh(z @ z.T)[1][:, -1] / spread))
+    got = features(weights)
+    if got[0]:
+        yield row("pca", None, weights, got)
+
+
+def search_sums(df: DataFrame, keys: Sequence[str], best: DataFrame) -> DataFrame:
+    """Sums of channels by image, each that is worth keeping: (keys, kind, start, channels, factors, components, area), see `sums`.
+
+    best: ranked single channels of an image (search_channels), of which each colour space's first is taken.
+    """
+    s = color.spaces(F.col("b"), F.col("g"), F.col("r"))
+    values = F.array((F.col("b") + F.col("g") + F.col("r")).cast("double"), *[c.cast("double") for name in color.SPACES for c in s[name]])
+    space = F.greatest(F.floor((F.col("candidate") - 1) / 3), F.lit(0))
+    first = best.groupBy(*keys, space.alias("space")).agg(F.min_by(F.struct("candidate", "components", "area"), "place").alias("c")).groupBy(*keys).agg(F.array_sort(F.collect_list("c")).alias("best"))
+    packed = df.select(*keys, "y", "x", values.alias("v")).groupBy(*keys).agg(F.collect_list(F.struct("y", "x", "v")).alias("p"))
+    packed = packed.select(*keys, F.col("p.y").alias("ys"), F.col("p.x").alias("xs"), F.flatten("p.v").alias("vs")).join(first, list(keys))
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", kind string, start int, channels array<int>, factors array<double>, components long, area long"
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for i in range(len(batch)):
+                own = [batch.column(k)[i].as_py() for k in keys]
+                ys, xs, vs = (np.asarray(batch.column(c)[i].values) for c in ("ys", "xs", "vs"))
+                ys, xs = ys - ys.min(), xs - xs.min()
+                grid = np.zeros((3 * len(color.SPACES) + 1, ys.max() + 1, xs.max() + 1))
+                inside = np.zeros(grid.shape[1:], bool)
+                grid[:, ys, xs], inside[ys, xs] = vs.reshape(len(ys), -1).T, True
+                found = [(b["candidate"], b["components"], b["area"]) for b in batch.column("best")[i].as_py()]
+                rows += [(*own, *r) for r in sums(grid, inside, found)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(target)], schema=target)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    target = to_arrow_schema(_parse_datatype_string(schema))
+    return packed.mapInArrow(run, schema)

@@ -12,6 +12,7 @@ from rasterloom.functions import color, formulas, series
 from rasterloom.functions import kernels as K
 from rasterloom.operators import components, descriptors, dynamics, filters, growth, motion, network, pixels, polygon, segmentation, tracking
 from rasterloom.plans import queries as Q
+from rasterloom.plans import search
 
 SF = "/root/testdata/sf0.001"
 
@@ -257,6 +258,24 @@ def test_windows_vote():
     assert not K.rolling_otsu(np.full((12, 12), 3.0)).any()
 
 
+def test_sums_go_on_after_a_failure(spark):
+    values, inside = np.zeros((19, 12, 12)), np.ones((12, 12), bool)
+    values[1, 2:5, 2:4] = values[1, 2:5, 6:8] = 10.0
+    values[4, 2:5, 2:8] = 6.0  # closes the gap
+    values[7, 9, 1::3] = 400.0  # other spots
+    one = [(c, *search._segmented(values[c], inside)[1:]) for c in (1, 4, 7)]
+    assert one == [(1, 2, 12), (4, 1, 18), (7, 4, 4)]
+    got = list(search.sums(values, inside, one))
+    assert ("add", 1, [1, 4], [1.0, 2.0], 1, 18) in got and {r[0] for r in got} >= {"add", "subtract"}
+    assert {r[1] for r in got if r[0] == "add"} == {1, 4, 7} and any(7 not in r[2] for r in got if r[0] == "subtract")
+    rng = np.random.default_rng(4)
+    d = spark.createDataFrame([(i, y, x, *map(int, rng.integers(0, 256, 3))) for i in range(2) for y in range(9) for x in range(9)], "img int, y int, x int, b int, g int, r int")
+    best = spark.createDataFrame([(i, c, c + 1, 9, 40) for i in range(2) for c in range(19)], "img int, candidate int, place int, components long, area long")
+    rows = search.search_sums(d, ["img"], best).collect()
+    assert {(r.img, r.start) for r in rows if r.kind == "add"} == {(i, c) for i in range(2) for c in (0, 4, 7, 10, 13, 16)}
+    assert {r.img for r in rows if r.kind == "pca"} == {0, 1}
+
+
 def test_kmeans_finds_levels(spark):
     d = spark.createDataFrame([(1, i, 0, v) for i, v in enumerate([0.0, 0.1, 5.0, 5.1, 9.0])], "img int, y int, x int, v double")
     got = segmentation.kmeans_pixels(d, 3).orderBy("v").collect()
