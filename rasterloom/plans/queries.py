@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType
 
 from ..config import Settings
 from ..functions import color, formulas, series
+from ..functions import kernels as K
 from ..operators import arenas
 from ..operators import components as C
 from ..operators import descriptors, dynamics, filters, growth, motion, network, pixels, polygon, segmentation, tracking
@@ -184,7 +185,7 @@ def growth_features(spark, sf):
 
 @query()
 def bootstrap_means(spark, sf):
-    return series.bootstrap_mean(table(spark, sf, "events").select("event_type", "value"), ["event_type"], "value", 200)
+    return series.bootstrap_mean(table(spark, sf, "events").select("event_type", "value"), ["event_type"], "value", 10_000)
 
 
 # -- segmentation ----------------------------------------------------------------
@@ -665,7 +666,7 @@ def candidate_scores(spark, sf):
 def filtered_images(spark, sf):
     d = images(spark, sf)
     out = None
-    for name in ("Gaussian", "Median", "Sobel", "Frangi", "Laplace", "Sharpen"):
+    for name in K.FILTERS:
         one = filters.apply_filter(d, ["img"], name, 1.0).groupBy("img").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation")).withColumn("filter", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out

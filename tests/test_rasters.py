@@ -284,6 +284,12 @@ def test_kmeans_finds_levels(spark):
     assert segmentation.choose_cluster(segmentation.kmeans_pixels(d, 3), bio=bio).first().cluster == 2
 
 
+def test_registered_jobs_are_the_operators_own(spark, monkeypatch):
+    assert {r.filter for r in Q.QUERIES["filtered_images"](spark, SF).select("filter").distinct().collect()} == set(K.FILTERS)
+    monkeypatch.setattr(series, "bootstrap_mean", lambda df, keys, value, rounds=1000: spark.range(rounds))
+    assert Q.QUERIES["bootstrap_means"](spark, SF).count() == 10_000
+
+
 def test_graph_of_a_plus():
     s = np.zeros((9, 9), bool)
     s[4, 1:8] = s[1:8, 4] = True
