@@ -37,7 +37,7 @@ def merge_runs(keys: DataFrame, leaves: int = 64, bits: int = 3, keep: str = "ma
     """One row per text: (digest, size, check, keep_id, group_size, n_kept rows that carry keep_id)."""
     pick = F.max if keep == "max" else F.min
     same = ["digest", "size", "check"]
-    depth = leaves.bit_length() - 1
+    depth = (leaves - 1).bit_length()
     place = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
     # A leaf's own run: one entry per (id, digest), then per digest, counted before anything is exchanged.
     runs = keys.groupBy("run", *same, "id").agg(F.count(F.lit(1)).alias("n"))

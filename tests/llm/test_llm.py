@@ -487,6 +487,13 @@ def test_exact_dedup(spark, odd_rows, keep):
     assert exact_dedup.exact_dedup(documents(spark, [])).count() == 0 and exact_dedup.drop_copies(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("leaves", [1, 3, 100])
+def test_any_number_of_leaves_merges(spark, leaves):
+    keys = spark.range(300).select("id", F.lit("00ff").alias("digest"), F.lit(1).cast("long").alias("size"), F.lit(2).cast("long").alias("check"), (F.col("id") % leaves).cast("int").alias("run"))
+    got = exact_dedup.merge_runs(keys, leaves).collect()
+    assert [(r.keep_id, r.group_size) for r in got] == [(299, 300)]
+
+
 def test_exact_dedup_runs_no_python(spark, odd_rows):
     plan = exact_dedup.exact_dedup(documents(spark, odd_rows))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
