@@ -54,8 +54,9 @@ def label(a: np.ndarray, connectivity: int = 8) -> np.ndarray:
     h, w = a.shape
     if not a.any():
         return np.zeros((h, w), np.int64)
-    number = np.arange(h * w).reshape(h, w)
-    parent = number.ravel().copy()
+    number = np.zeros((h, w), np.int64)
+    number[a] = np.arange(int(a.sum()))
+    parent = number[a]
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
     left, right = [], []
     for dy, dx in steps:
@@ -66,20 +67,17 @@ def label(a: np.ndarray, connectivity: int = 8) -> np.ndarray:
     p, q = np.concatenate(left), np.concatenate(right)
     while len(p):  # hook larger roots to smaller ones, then shorten
         rp, rq = parent[p], parent[q]
-        hi, lo = np.maximum(rp, rq), np.minimum(rp, rq)
-        open_ = hi != lo
-        if not open_.any():
-            break
-        np.minimum.at(parent, hi[open_], lo[open_])
+        open_ = rp != rq
+        p, q, rp, rq = p[open_], q[open_], rp[open_], rq[open_]
+        np.minimum.at(parent, np.maximum(rp, rq), np.minimum(rp, rq))
         while True:
             up = parent[parent]
             if (up == parent).all():
                 break
             parent = up
-    roots = np.where(a.ravel(), parent, -1)
-    _, inverse = np.unique(roots, return_inverse=True)
-    out = inverse.reshape(h, w)
-    return out if (roots == -1).any() else out + 1
+    out = np.zeros((h, w), np.int64)  # a root is its component's first pixel
+    out[a] = np.cumsum(parent == np.arange(len(parent)))[parent]
+    return out
 
 
 def sizes(labels: np.ndarray) -> np.ndarray:

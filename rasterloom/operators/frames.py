@@ -99,6 +99,86 @@ def _rows(rows: list[tuple], target: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(target)], schema=target)
 
 
+def run_stacks(df: DataFrame, keys: Sequence[str], value: str, kernel: Callable[..., Iterator[tuple]], schema: str, heads: DataFrame | None = None, pixels: int = 1 << 16) -> DataFrame:
+    """Applies kernel(Stack, values, heads) to runs of whole frames of about `pixels` pixels; it yields tuples (frames, column, ...) of arrays.
+
+    df: keys, y, x and `value`, a number or an array of numbers (then values has a row for each of its
+    places). Pixels are sorted by frame within partitions and streamed, so a task holds a run, or the one
+    frame that is larger. heads: keys and one more column, which the kernel gets as a list with an entry
+    a frame, None where a frame has no row in it.
+    """
+    import pyarrow.compute as pc
+
+    from ..functions.stacks import Stack
+
+    k = len(keys)
+    rows = df.where("y is not null and x is not null").select(*keys, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col(value).alias("v"))
+    many = rows.schema["v"].dataType.typeName() == "array"
+    if heads is not None:
+        payload = next(c for c in heads.columns if c not in keys)
+        rows = rows.withColumn("h", F.lit(None).cast(heads.schema[payload].dataType))
+        rows = rows.unionByName(heads.select(*keys, F.col(payload).alias("h")), allowMissingColumns=True)
+
+    def parts(batches):
+        """Tables of whole frames."""
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < pixels:
+                continue
+            t = pa.Table.from_batches(held)
+            at = _changes(t, k, pc)
+            if at[-1]:
+                yield t.slice(0, at[-1]), at[:-1]
+                t = t.slice(at[-1])
+            held, n = t.combine_chunks().to_batches(), t.num_rows
+        if n:
+            t = pa.Table.from_batches(held)
+            yield t, _changes(t, k, pc)
+
+    def stream(batches):
+        for t, at in parts(batches):
+            own = np.repeat(np.arange(len(at)), np.diff(np.append(at, t.num_rows)))
+            found = t.select(range(k)).take(pa.array(at))
+            heads = None
+            if "h" in t.column_names:
+                mark = t.column("h").is_valid().to_numpy()
+                heads = [None] * len(at)
+                for i, h in zip(own[mark].tolist(), t.column("h").filter(pa.array(mark)).to_pylist()):
+                    heads[i] = h
+                t, own = t.filter(pa.array(~mark)), own[~mark]
+                some, own = np.unique(own, return_inverse=True)  # a head may have no pixels
+                found, heads = found.take(pa.array(some)), [heads[i] for i in some.tolist()]
+            if not len(own):
+                continue
+            v = t.column("v").combine_chunks()
+            v = np.asarray(v.flatten(), float).reshape(len(own), -1).T if many else np.asarray(v, float)
+            stack = Stack(own, *(t.column(c).to_numpy() for c in ("y", "x")))
+            for frame, *cols in kernel(stack, v, heads) if heads is not None else kernel(stack, v):
+                if len(frame):
+                    own_keys = found.take(pa.array(frame)).combine_chunks()
+                    arrays = [c.combine_chunks() for c in own_keys.columns] + [pa.array(c) for c in cols]
+                    yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, target)], schema=target)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    full = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys) + f", {schema}"
+    target = to_arrow_schema(_parse_datatype_string(full))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "y", "x").mapInArrow(stream, full)
+
+
+def _changes(t: pa.Table, k: int, pc) -> np.ndarray:
+    """First rows of the runs of equal keys; nulls are equal."""
+    new = np.zeros(t.num_rows, bool)
+    new[0] = True
+    for c in t.columns[:k]:
+        a, b = c.slice(1), c.slice(0, t.num_rows - 1)
+        new[1:] |= pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(a.is_null(), b.is_null())).to_numpy()
+    return np.flatnonzero(new)
+
+
 def with_empty_frames(packed: DataFrame, all_frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds the frames that have no pixels, with empty arrays."""
     return all_frames.select(*keys).join(packed, list(keys), "left")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.functions import color, formulas, series
+from rasterloom.functions import color, formulas, series, stacks
 from rasterloom.functions import kernels as K
 from rasterloom.operators import components, descriptors, dynamics, filters, growth, motion, network, pixels, polygon, segmentation, tracking
 from rasterloom.plans import queries as Q
@@ -276,6 +276,50 @@ def test_sums_go_on_after_a_failure(spark):
     assert {r.img for r in rows if r.kind == "pca"} == {0, 1}
 
 
+def test_stacks_are_frames_side_by_side():
+    rng = np.random.default_rng(7)
+    images = [rng.random((int(h), int(w))) < 0.6 for h, w in rng.integers(1, 12, (40, 2))]
+    where = [np.argwhere(np.ones(a.shape, bool)) for a in images]
+    own = np.repeat(np.arange(40), [len(p) for p in where])
+    y, x = np.concatenate(where).T + 5
+    stack = stacks.Stack(own, y, x)
+    f = stack.features(np.concatenate([a.ravel() for a in images]))
+    for i, a in enumerate(images):
+        n = K.label(a)
+        boxes = [np.argwhere(n == k + 1) for k in range(n.max())]
+        want = [len(boxes), a.sum(), *(np.std([np.ptp(b[:, d]) for b in boxes]) if boxes else 0 for d in (1, 0)), np.std([len(b) for b in boxes]) if boxes else 0]
+        assert [f[k][i] for k in ("components", "area", "width_spread", "height_spread", "area_spread")] == pytest.approx(want)
+    v = rng.normal(size=len(own))
+    assert stack.otsu(v) == pytest.approx([K.otsu(v[own == i]) for i in range(40)])
+    for shape in ((8, 8), (1, 1), (3, 17), (30, 25)):
+        masks, grey = rng.random((30, *shape)) < 0.5, rng.normal(size=(30, *shape)) * 9
+        one = stacks.largest(masks)
+        assert all((one[i] == K.largest(m)).all() for i, m in enumerate(masks))
+        assert stacks.outline_lengths(one) == pytest.approx([K.closed_length(K.trace(m)) for m in one])
+        assert all((stacks.rolling_otsu(grey)[i] == K.rolling_otsu(a)).all() for i, a in enumerate(grey))
+
+
+def test_channel_search_equals_a_search_image_by_image(spark):
+    rng = np.random.default_rng(9)
+    pixels = [(i, int(y), int(x), *map(int, rng.integers(0, 256, 3))) for i, (h, w) in enumerate(((7, 9), (1, 4), (12, 5), (3, 3))) for y in range(h) for x in range(w)]
+    d = spark.createDataFrame(pixels, "img int, y int, x int, b int, g int, r int")
+    got = {(r.img, r.candidate): (r.components, r.area) for r in search.channel_features(d, ["img"]).collect()}
+    values = search.channels(d, ["img"]).toPandas()
+    for img, rows in values.groupby("img"):
+        y, x, v = rows["y"].to_numpy(), rows["x"].to_numpy(), np.stack(rows["v"].to_list()).T
+        for c, flat in enumerate(v):
+            a = np.zeros((y.max() + 1, x.max() + 1))
+            a[y, x] = flat
+            on = a > K.otsu(a)
+            on = ~on if 2 * on.sum() >= on.size else on
+            assert got.get((img, c), (0, 0)) == (K.label(on).max(), on.sum())
+    best = search.search_channels(d, ["img"], 19)
+    both = search.search_logical(d, ["img"], best)
+    assert {r.candidate for r in both.collect()} <= {search.AND, search.OR}
+    assert search.channel_features(d.limit(0), ["img"]).count() == 0
+    assert {r.img for r in search.search_sums(d, ["img"], best.where("img = 0")).where("kind = 'add'").collect()} == {0}
+
+
 def test_kmeans_finds_levels(spark):
     d = spark.createDataFrame([(1, i, 0, v) for i, v in enumerate([0.0, 0.1, 5.0, 5.1, 9.0])], "img int, y int, x int, v double")
     got = segmentation.kmeans_pixels(d, 3).orderBy("v").collect()
