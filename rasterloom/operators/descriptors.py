@@ -26,11 +26,19 @@ def raw_moments(df: DataFrame, keys: Sequence[str], order: int = 3) -> DataFrame
 
 
 def moments(df: DataFrame, keys: Sequence[str], wanted: Iterable[str] = NATIVE) -> DataFrame:
-    """The wanted native descriptors. Axes are sqrt(6 (c20 + c02 +- sqrt(4 c11^2 + (c20 - c02)^2))); kurtosis isn't excess."""
+    """The wanted native descriptors. Axes are sqrt(6 (c20 + c02 +- sqrt(4 c11^2 + (c20 - c02)^2))); kurtosis isn't excess.
+
+    Second moments come from whole sums, so that a shape as wide as it is high has equal ones: its
+    orientation is 0, whatever the order of its pixels. y and x are whole numbers.
+    """
+    x, y = F.col("x").cast("long"), F.col("y").cast("long")
     g = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("area"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.var_pop("x").alias("c20"), F.var_pop("y").alias("c02"), F.covar_pop(F.col("x").cast("double"), F.col("y").cast("double")).alias("c11"),
+        F.count(F.lit(1)).alias("area"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"),
         F.skewness("x").alias("skx"), F.skewness("y").alias("sky"), F.kurtosis("x").alias("kux"), F.kurtosis("y").alias("kuy"),
     )
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    central = lambda pq, p, q: ((wide("area") * wide(pq) - wide(p) * wide(q)).cast("double") / (F.col("area").cast("double") * F.col("area")))
+    g = g.withColumns({"c20": central("sxx", "sx", "sx"), "c02": central("syy", "sy", "sy"), "c11": central("sxy", "sx", "sy")})
     known = lambda c, extra=0: F.when(F.col(c).isNull() | F.isnan(c), 0.0).otherwise(F.col(c) + extra)
     root = F.sqrt(4 * F.col("c11") * F.col("c11") + F.pow(F.col("c20") - F.col("c02"), F.lit(2)))
     major, minor = F.sqrt(6 * (F.col("c20") + F.col("c02") + root)), F.sqrt(F.greatest(6 * (F.col("c20") + F.col("c02") - root), F.lit(0.0)))

@@ -276,6 +276,15 @@ def test_sums_go_on_after_a_failure(spark):
     assert {r.img for r in rows if r.kind == "pca"} == {0, 1}
 
 
+def test_as_wide_as_high_has_no_orientation(spark):
+    rng = np.random.default_rng(3)
+    shapes = [a for a in (rng.random((8, 8)) < 0.5 for _ in range(4000)) if (p := np.argwhere(a)).size and (len(p) * p * p).sum(0)[0] - p.sum(0)[0] ** 2 == (len(p) * p * p).sum(0)[1] - p.sum(0)[1] ** 2]
+    assert len(shapes) > 2
+    rows = [(k, int(y), int(x)) for k, a in enumerate(shapes) for y, x in rng.permutation(np.argwhere(a)).tolist()]
+    got = descriptors.moments(spark.createDataFrame(rows, "img int, y int, x int").repartition(7), ["img"]).collect()
+    assert {r.axes_orientation for r in got} == {0.0} and len(got) == len(shapes)
+
+
 def test_stacks_are_frames_side_by_side():
     rng = np.random.default_rng(7)
     images = [rng.random((int(h), int(w))) < 0.6 for h, w in rng.integers(1, 12, (40, 2))]
