@@ -265,13 +265,13 @@ def sun(a: np.ndarray, reach: float = 4.0) -> np.ndarray:
 
 
 def convolve(a: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """2-D correlation with mirrored edges."""
+    """2-D correlation with mirrored edges, of one frame or an array of them."""
     py, px = k.shape[0] // 2, k.shape[1] // 2
-    p = np.pad(a.astype(float), ((py, py), (px, px)), mode="symmetric")
+    p = np.pad(a.astype(float), [(0, 0)] * (a.ndim - 2) + [(py, py), (px, px)], mode="symmetric")
     out = np.zeros(a.shape)
     for i, j in np.ndindex(k.shape):
         if k[i, j]:
-            out += k[i, j] * p[i : i + a.shape[0], j : j + a.shape[1]]
+            out += k[i, j] * p[..., i : i + a.shape[-2], j : j + a.shape[-1]]
     return out
 
 
@@ -294,8 +294,8 @@ def _along(n: int, sigma: float, order: int) -> np.ndarray:
 
 
 def gaussian(a: np.ndarray, sigma: float, order: tuple[int, int] = (0, 0)) -> np.ndarray:
-    if max(a.shape) <= 128:
-        return _along(a.shape[0], float(sigma), order[0]) @ a @ _along(a.shape[1], float(sigma), order[1]).T
+    if max(a.shape[-2:]) <= 128:
+        return _along(a.shape[-2], float(sigma), order[0]) @ a @ _along(a.shape[-1], float(sigma), order[1]).T
     return convolve(convolve(a, gaussian_1d(sigma, order[0])[::-1, None]), gaussian_1d(sigma, order[1])[None, ::-1])
 
 
@@ -321,9 +321,9 @@ def hessian(a: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
     dy, dx = gaussian(a, half, (1, 0)), gaussian(a, half, (0, 1))
     yy, xx, yx = (gaussian(d, half, o) * sigma**2 for d, o in ((dy, (1, 0)), (dx, (0, 1)), (dy, (0, 1))))
     mid, root = (yy + xx) / 2, np.sqrt(((yy - xx) / 2) ** 2 + yx**2)
-    e = np.stack([mid - root, mid + root])
-    e = np.take_along_axis(e, np.abs(e).argsort(0), 0)
-    return e[0], e[1]
+    low, high = mid - root, mid + root
+    turned = np.abs(low) > np.abs(high)
+    return np.where(turned, high, low), np.where(turned, low, high)
 
 
 def frangi(a: np.ndarray, sigmas, beta: float = 1.0, gamma: float | None = 1.0, black: bool = True) -> np.ndarray:

@@ -31,9 +31,9 @@ class Stack:
         own[number] = self.own[on]
         return number, own
 
-    def otsu(self, v: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
-        """Each frame's Otsu threshold, of the pixels under the mask alone if there is one; NaN where none are."""
-        return otsu_of(v, self.own, self.n) if mask is None else otsu_of(v[mask], self.own[mask], self.n)
+    def otsu(self, v: np.ndarray) -> np.ndarray:
+        """Each frame's Otsu threshold."""
+        return _otsu_rows(v.reshape(self.n, -1)) if (self.size == self.size[0]).all() else otsu_of(v, self.own, self.n)
 
     def segmented(self, v: np.ndarray) -> np.ndarray:
         """Pixels above their frame's threshold; those not above it where they'd be half of all or more."""
@@ -88,6 +88,24 @@ def otsu_of(v: np.ndarray, own: np.ndarray, n: int, bins: int = 256) -> np.ndarr
     return out
 
 
+def _otsu_rows(v: np.ndarray, bins: int = 256) -> np.ndarray:
+    """The same of each row."""
+    n, size = v.shape
+    if size > bins:
+        return otsu_of(v.ravel(), np.repeat(np.arange(n), size), n, bins)
+    # With no more pixels than bins the filled bins alone are gone through, in order.
+    low, high = v.min(1, keepdims=True), v.max(1, keepdims=True)
+    span = np.where(high > low, high - low, 1.0)
+    b = np.sort(np.minimum(np.floor((v - low) * bins / span), bins - 1), 1)
+    mid = low + (b + 0.5) * span / bins
+    s1, w1 = mid.cumsum(1), np.arange(1.0, size + 1)
+    w2, s2 = np.maximum(w1[-1] - w1, 1), s1[:, -1:] - s1
+    var = w1 * w2 * (s1 / w1 - s2 / w2) ** 2
+    var[:, :-1][b[:, :-1] == b[:, 1:]] = -1.0
+    var[:, -1] = -1.0
+    return np.where(high > low, np.take_along_axis(mid, var.argmax(1)[:, None], 1), low)[:, 0]
+
+
 # -- frames of one size, as an array (frames, height, width) ----------------------------------------------------------------
 
 
@@ -135,7 +153,7 @@ def outline_lengths(a: np.ndarray) -> np.ndarray:
 
 def above_otsu(a: np.ndarray) -> np.ndarray:
     n = len(a)
-    return a > otsu_of(a.reshape(n, -1).ravel(), np.repeat(np.arange(n), a[0].size), n)[:, None, None]
+    return a > _otsu_rows(a.reshape(n, -1)).reshape(n, 1, 1)
 
 
 def rolling_otsu(a: np.ndarray, size: int = 10) -> np.ndarray:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..functions import stacks
 from . import frames
 
 #: Sigma sets that are tried, from fine fibres to wide veins.
@@ -45,22 +46,34 @@ def detect(a: np.ndarray, method: str, sigmas, black: bool = True, rolling: bool
     return segment(ridges(a, method, sigmas, black), rolling)
 
 
-def method_scores(df: DataFrame, keys: Sequence[str], value: str = "v", black: bool = True, rolling: bool = True) -> DataFrame:
-    """(keys, method, variant, rolling, quality) of all variants on every frame, each by one threshold and, if `rolling`, by windows too."""
+def qualities(masks: np.ndarray) -> np.ndarray:
+    """`quality` of each of an array of masks."""
+    n = masks.sum((1, 2))
+    return np.where(n > 0, stacks.outline_lengths(stacks.largest(masks)) ** 2 / np.maximum(n, 1), 0.0)
 
-    def kernel(a, y0, x0):
-        seen: dict = {}
-        found: dict[bytes, float] = {}
-        for method, sets in (("frangi", FRANGI_SIGMAS), ("sato", SATO_SIGMAS)):
-            for i, s in enumerate(sets):
-                ridge = ridges(a, method, s, black, seen)
-                for roll in (False, True) if rolling else (False,):
-                    n = segment(ridge, roll)
-                    if (mask := n.tobytes()) not in found:
-                        found[mask] = float(quality(n))
-                    yield method, i, roll, found[mask]
-
-    return frames.run(frames.pack(df, keys, value), keys, kernel, "method string, variant int, rolling boolean, quality double")
+
+def method_scores(df: DataFrame, keys: Sequence[str], value: str = "v", black: bool = True, rolling: bool = True) -> DataFrame:
+    """(keys, method, variant, rolling, quality) of all variants on every frame, each by one threshold and, if `rolling`, by windows too. Frames of one size go through together."""
+
+    def kernel(stack, v):
+        sizes, group = np.unique(np.stack([stack.height, stack.width]), axis=1, return_inverse=True)
+        for k in range(sizes.shape[1]):
+            at = np.flatnonzero(group.ravel() == k)
+            place = np.full(stack.n, -1)
+            place[at] = np.arange(len(at))
+            own = place[stack.own]
+            some = own >= 0
+            a = np.zeros((len(at), *sizes[:, k]))
+            a[own[some], stack.y[some], stack.x[some]] = v[some]
+            seen: dict = {}
+            for method, sets in (("frangi", FRANGI_SIGMAS), ("sato", SATO_SIGMAS)):
+                for i, s in enumerate(sets):
+                    ridge = ridges(a, method, s, black, seen)
+                    for roll in (False, True) if rolling else (False,):
+                        m = stacks.rolling_otsu(ridge) if roll else stacks.above_otsu(ridge)
+                        yield at, [method] * len(at), np.full(len(at), i), np.full(len(at), roll), qualities(m)
+
+    return frames.run_stacks(df, keys, value, kernel, "method string, variant int, rolling boolean, quality double", pixels=1 << 15)
 
 
 def best_method(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
