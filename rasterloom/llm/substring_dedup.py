@@ -4,18 +4,22 @@ A window is `window` consecutive words of one text. Every window has a key: the
 runs of `gram` words inside it. Equal windows have equal keys, and neighbouring windows mostly share
 theirs, so a text of n words has about 2 n / (window - gram) keys. Partition sketches count keys and
 are merged; a key's estimate is never below the number of texts' stretches that hold any one of its
-windows. A second pass takes only stretches whose key is estimated repeated and groups them exactly:
+windows. A second pass takes only stretches whose key is estimated repeated and groups them exactly,
+by the SHA-256 of their words, never by the hashes that the sketch counts:
 
-1. whole stretches by a 128-bit digest of all their words: every later copy is removed as it stands;
-2. of keys with several different stretches, the first copy of each, window by window.
+1. whole stretches by the digest of all their words: every later copy is removed as it stands;
+2. of keys with several different stretches, the first copy of each, window by window, by the digest of
+   each window's words. Their texts are read a third time, by identifier.
 
 Sums and minima are partial before they are shuffled, so that a passage in a third of all texts
-sends a few rows a task. If the corpus outgrows the largest sketch, more windows are grouped exactly,
+sends a few rows a task; the few windows that very many texts have are looked up in a broadcast of at
+most `_HOT` rows. If the corpus outgrows the largest sketch, more stretches are grouped exactly,
 and the result stays the same.
 
 Defined results: null text has no words; null ids count above all others and never remove each
-other's words, nor do rows with one id; texts below one window stay whole; repeated rows are judged
-alike; an empty table gives an empty result; other columns are ignored.
+other's words, nor do rows with one id; texts below one window stay whole, texts of any length are
+judged whole; repeated rows are judged alike; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +28,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
 from .common import settle
-from .textkernel import _GRAMS, gram_hashes, mix, row_words, text_chunks
+from .textkernel import gram_hashes, row_text, row_words, text_chunks
 
 _LAST = (1 << 63) - 1
+#: Windows that more than a `_HOT`-th of all judged windows, and more than _OFTEN, are equal to: never more than `_HOT`.
+_HOT, _OFTEN = 1000, 10_000
 
 
 def _window_keys(words: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -46,7 +52,7 @@ def _window_keys(words: np.ndarray, window: int, gram: int) -> np.ndarray:
 
 
 def stretches(column: pa.Array, window: int, gram: int):
-    """Runs of windows of one row with one key: (first row, row of each, first word in its text, windows, key, all word hashes, first word among those)."""
+    """Runs of windows of one row with one key: (first row, row of each, first word in its text, windows, key, first word in the chunk, the chunk)."""
     for a, b, buf, offsets in text_chunks(column):
         words, first = row_words(buf, offsets)
         if len(words) < window:
@@ -61,18 +67,14 @@ def stretches(column: pa.Array, window: int, gram: int):
         size = np.diff(np.append(at, len(keys)))
         some = inside[at]
         at, size = at[some], size[some]
-        yield a, row[at], at - first[row[at]], size, keys[at], words, at
+        yield a, row[at], at - first[row[at]], size, keys[at], at, (buf, offsets)
 
 
-def _span_digests(words: np.ndarray, at: np.ndarray, length: np.ndarray, salt: int) -> np.ndarray:
-    h = mix(words ^ np.uint64(salt))
-    up, down = _GRAMS.get(len(words) + 1)
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(h * up[:-1], out=total[1:])
-    return mix((total[at + length] - total[at]) * down[at] ^ length.astype(np.uint64))
+def _digest(data: bytes) -> bytes:
+    return hashlib.sha256(data).digest()
 
 
-_SPANS = "key long, d1 long, d2 long, size int, id long, text_hash long, start int, windows array<long>"
+_SPANS = "key long, digest binary, size int, id long, text_hash long, start int"
 
 
 def repeated_spans(df: DataFrame, window: int, gram: int) -> DataFrame:
@@ -97,36 +99,70 @@ def repeated_spans(df: DataFrame, window: int, gram: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False)
             hashes = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, row, start, size, keys, words, at in stretches(batch.column(2), window, gram):
+            for a, row, start, size, keys, at, chunk in stretches(batch.column(2), window, gram):
                 hit = sketch.test(sent.value, keys)
                 if not hit.any():
                     continue
                 row, start, size, keys, at = row[hit], start[hit], size[hit], keys[hit], at[hit]
-                whole = gram_hashes(words, window).view(np.int64)
-                off = np.concatenate([[0], np.cumsum(size)])
-                flat = whole[np.repeat(at - off[:-1], size) + np.arange(off[-1])]
-                d1, d2 = (_span_digests(words, at, size + window - 1, s).view(np.int64) for s in (3, 5))
-                lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat))
-                cols = [keys.view(np.int64), d1, d2, size.astype(np.int32), ids[a + row], hashes[a + row], start.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), lists], names=[f.split()[0] for f in _SPANS.split(", ")])
+                text, where = row_text(*chunk)
+                text = memoryview(text)
+                digests = [_digest(text[x:y]) for x, y in zip(where[at].tolist(), where[at + size + window - 1].tolist())]
+                cols = [keys.view(np.int64), digests, size.astype(np.int32), ids[a + row], hashes[a + row], start.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=[f.split()[0] for f in _SPANS.split(", ")])
 
     return df.select("id", "text_hash", "text").mapInArrow(take, _SPANS)
 
 
+_WINDOWS = "w binary, id long, text_hash long, start int"
+
+
+def span_windows(df: DataFrame, spans: DataFrame, window: int) -> DataFrame:
+    """(digest, id, text_hash, start) of each window of the spans (id, text_hash, start, size), out of the texts df: id, text_hash, text."""
+    wanted = settle(spans.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("c")), "wanted")
+    bitmap = sketch.bitmap_of(wanted.select("text_hash").distinct(), min(26, sketch.bits_for(wanted.count())))
+    sent = df.sparkSession.sparkContext.broadcast(bitmap)
+
+    def near(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(sketch.test(sent.value, batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))))
+
+    some = df.select(F.coalesce("id", F.lit(_LAST)).alias("id"), "text_hash", "text").mapInArrow(near, "id long, text_hash long, text string")
+    k, h = F.col("id").alias("k"), F.col("text_hash").alias("h")
+    both = some.join(wanted.select(k, h, F.col("c.start").alias("starts"), F.col("c.size").alias("sizes")), (F.col("id") == F.col("k")) & (F.col("text_hash") == F.col("h")))
+
+    def run(batches):
+        names = [f.split()[0] for f in _WINDOWS.split(", ")]
+        for batch in batches:
+            for i, (key, mark, starts, sizes) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4)))):
+                for _, _, buf, offsets in text_chunks(batch.column(2).slice(i, 1)):
+                    text, where = row_text(buf, offsets)
+                text = memoryview(text)
+                at = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, sizes)])
+                for a in range(0, len(at), 1 << 14):
+                    b = at[a : a + (1 << 14)]
+                    digests = [_digest(text[x:y]) for x, y in zip(where[b].tolist(), where[b + window].tolist())]
+                    cols = [digests, np.full(len(b), key), np.full(len(b), mark), b.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=names)
+
+    return both.select("id", "text_hash", "text", "starts", "sizes").mapInArrow(run, _WINDOWS)
+
+
 def repeats(df: DataFrame, window: int, gram: int) -> DataFrame:
     """(id, text_hash, start, size): windows, as runs of starts, that also start in a text with a smaller id."""
     spans = settle(repeated_spans(df, window, gram), "spans")
-    same = ["key", "d1", "d2", "size"]
+    same = ["key", "digest"]
     firsts = spans.groupBy(*same).agg(F.min("id").alias("low"), F.max("id").alias("high"))
     firsts = settle(firsts, "firsts")
     mixed = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("a"), F.max("high").alias("z")).where("n > 1 and a < z").select("key", F.lit(True).alias("mixed"))
     firsts = firsts.join(mixed, "key", "left").where("mixed or low < high")
-    joined = spans.join(firsts, same)
-    judged = settle(joined.select("key", "id", "text_hash", "start", "size", (F.col("id") > F.col("low")).alias("later"), F.when(F.col("id") == F.col("low"), F.col("windows")).alias("windows"), "mixed"), "judged")
+    judged = settle(spans.join(firsts, same).select("id", "text_hash", "start", "size", (F.col("id") > F.col("low")).alias("later"), "mixed"), "judged")
     copies = judged.where("later").select("id", "text_hash", "start", "size")
-    single = judged.where("not later and mixed").select("key", "id", "text_hash", "start", F.posexplode("windows").alias("i", "w"))
-    lows = single.groupBy("key", "w").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "w", "low")
-    more = single.join(lows, ["key", "w"]).where("id > low").select("id", "text_hash", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("size"))
+    single = settle(span_windows(df, judged.where("not later and mixed"), window), "windows")
+    lows = settle(single.groupBy("w").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high"), "lows")
+    often = max(_OFTEN, single.count() // _HOT)
+    marked = single.join(F.broadcast(lows.where(F.col("n") > often).select("w", "low")), "w", "left")
+    rest = marked.where("low is null").drop("low").join(lows.where(F.col("n") <= often).select("w", "low"), "w")
+    more = marked.where("low is not null").unionByName(rest).where("id > low").select("id", "text_hash", "start", F.lit(1).alias("size"))
     return copies.union(more)
 
 

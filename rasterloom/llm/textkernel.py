@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 from .common import lean_memory
 
-_SEED = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[9, 10, 11, 12, 13, 32]] = False
-_P = 0x9E3779B97F4A7C15 | 1
+_P = 0x9E3779B97F4A7C15
 _Q = 0xD1342543DE82EF95 | 1
 _M = (1 << 64) - 1
 #: Bytes of text that are handled at a time; longer texts are handled whole.
@@ -39,7 +39,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES, _GRAMS = _Powers(_P), _Powers(_Q)
+_GRAMS = _Powers(_Q)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -89,47 +89,88 @@ def find_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hash of each word, of A-Z as a-z if `lower`."""
+#: Words of more bytes are hashed one by one.
+_SHORT = 64
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, key: int = 0) -> np.ndarray:
+    """64-bit hash of each word, of A-Z as a-z if `lower`.
+
+    Eight bytes at a time go through a mixing step that isn't linear; words of one length up to eight
+    bytes never collide. With a key that nobody knows beforehand no text can be made to collide on
+    purpose. What two words with one hash are is for the caller to compare.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _BYTES.get(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[buf] * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    p = np.zeros(len(buf) + 8, np.uint8)
+    p[: len(buf)] = _LOWER[buf] if lower else buf
+    eight = np.ndarray(len(buf) + 1, "<u8", p, 0, (1,))
+    size = ends - starts
+    h = mix((size.astype(np.uint64) + np.uint64(key & _M)) * np.uint64(_P))
+    h = mix(h ^ (eight[starts] & _LEFT[np.minimum(size, 8)]))
+    more, at = np.flatnonzero((size > 8) & (size <= _SHORT)), 8
+    while len(more):
+        h[more] = mix(h[more] ^ (eight[starts[more] + at] & _LEFT[np.minimum(size[more] - at, 8)]))
+        at += 8
+        more = more[size[more] > at]
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(p[starts[i] : ends[i]], digest_size=8, key=(key & _M).to_bytes(8, "little")).digest(), "little")
+    return h
+
+
+def _pieces(buf: np.ndarray):
+    """A long row cut at white space: (first byte, bytes). A word isn't cut."""
+    a = 0
+    while a < len(buf):
+        b = min(a + CHUNK, len(buf))
+        while b < len(buf) and _IN_WORD[buf[b]]:
+            more = np.flatnonzero(~_IN_WORD[buf[b : b + 4096]])
+            b = b + int(more[0]) if len(more) else min(b + 4096, len(buf))
+        yield a, buf[a:b]
+        a = b
 
 
-def row_words(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def row_words(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, index of each row's first word, with the total at the end). A long row is cut at white space on the way."""
     if len(buf) <= 2 * CHUNK or len(offsets) > 2:
         starts, ends, first = find_words(buf, offsets)
-        return word_hashes(buf, starts, ends, lower), first
-    parts, a = [], 0
-    while a < len(buf):
-        b = min(a + CHUNK, len(buf))
-        while b < len(buf) and _IN_WORD[buf[b]]:  # a word isn't cut
-            more = np.flatnonzero(~_IN_WORD[buf[b : b + 4096]])
-            b = b + int(more[0]) if len(more) else min(b + 4096, len(buf))
-        piece = buf[a:b]
+        return word_hashes(buf, starts, ends, lower, key), first
+    parts = []
+    for _, piece in _pieces(buf):
         starts, ends, _ = find_words(piece, np.array([0, len(piece)]))
-        parts.append(word_hashes(piece, starts, ends, lower))
-        a = b
+        parts.append(word_hashes(piece, starts, ends, lower, key))
     words = np.concatenate(parts)
     return words, np.array([0, len(words)])
 
 
+def row_text(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(the words' bytes, each word followed by one space; where each word begins, and the end): what `row_words` hashes, to be compared."""
+    if lower:
+        buf = _LOWER[buf]
+    if len(buf) <= 2 * CHUNK or len(offsets) > 2:
+        starts, ends, _ = find_words(buf, offsets)
+        return joined_words(buf, starts, ends)
+    parts, ats, base = [], [], 0
+    for _, piece in _pieces(buf):
+        starts, ends, _ = find_words(piece, np.array([0, len(piece)]))
+        out, at = joined_words(piece, starts, ends)
+        parts.append(out), ats.append(at[:-1] + base)
+        base += len(out)
+    return np.concatenate(parts), np.append(np.concatenate(ats), base)
+
+
 def gram_hashes(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
-    """Hash of every run of k consecutive words; entry i starts at word i. Runs may cross rows: callers mask those."""
+    """Hash of every run of k consecutive words; entry i starts at word i. Runs may cross rows: callers mask those. Of more than eight words it is a polynomial, a filter only."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     if salt:
         words = mix(words ^ np.uint64(salt))
     if k <= 8:
-        h = words[:n].copy()
+        h = words[:n]
         for j in range(1, k):
-            h *= np.uint64(_Q)
-            h += words[j : j + n]
+            h = mix(h * np.uint64(_Q) + words[j : j + n])
         return mix(h)
     up, down = _GRAMS.get(len(words) + 1)
     total = np.zeros(len(words) + 1, np.uint64)
@@ -139,7 +180,18 @@ def gram_hashes(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
 
 def whole_hash(words: np.ndarray, salt: int = 0) -> int:
     """Hash of a whole word sequence of any length."""
-    h = salt ^ len(words)
-    for w in words.tolist():
-        h = (h * _Q + w) & _M
-    return int(mix(np.array([h], np.uint64))[0])
+    h = np.array([salt ^ len(words)], np.uint64)
+    for w in words:
+        h = mix(h * np.uint64(_Q) + w)
+    return int(h[0])
+
+
+def joined_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the words' bytes, each followed by a space; where each begins, and the end)."""
+    size = ends - starts
+    at = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(int(at[-1]), 32, np.uint8)
+    off = np.concatenate([[0], np.cumsum(size)])
+    step = np.arange(int(off[-1]))
+    out[step + np.repeat(at[:-1] - off[:-1], size)] = buf[step + np.repeat(starts - off[:-1], size)]
+    return out, at

@@ -247,6 +247,40 @@ def by_text(rows):
     return sorted(map(str, rows))
 
 
+def thue_morse(n):
+    """Two words that every polynomial hash modulo a power of two takes for one."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_take_for_one(spark):
+    rng = random.Random(8)
+    rows, near = [], []
+    for k, n in enumerate((1024, 2048, 64)):
+        a, b = thue_morse(n)
+        rest = words(rng, 49, 10**6)
+        rows += [(10 * k + 1, " ".join([a, *rest]), "a"), (10 * k + 2, " ".join([b, *rest]), "a")]
+        near += [(10 * k + 1, " ".join([a, *rest[:5]]), "a"), (10 * k + 2, " ".join([b, *rest[:5]]), "a"), (10 * k + 3, " ".join([a.upper(), *rest[:5]]), "a")]
+    a, b = thue_morse(1024)
+    rows.append((90, " ".join([*rest, *a]), "a"))  # the same with words in place of letters
+    rows.append((91, " ".join([*rest, *b]), "a"))
+    assert {r.n_removed for r in substring_dedup.remove_repeats(documents(spark, rows[:-2])).collect()} == {0}
+    assert sorted(tuple(r) for r in substring_dedup.remove_repeats(documents(spark, rows)).collect()) == sorted(brute_repeats(rows))
+    got = {r.doc_id: r.component_id for r in ngram_join.near_components(documents(spark, near)).collect()}
+    assert got == {k: {3: 1}.get(k % 10, k % 10) + k // 10 * 10 for k, *_ in near}
+
+
+def test_windows_in_very_many_texts_are_looked_up(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_OFTEN", 3)
+    rng = random.Random(4)
+    line = words(rng, 55, 10**6)
+    rows = [(k, " ".join(words(rng, 9, 10**6) + line + words(rng, 9, 10**6)), "a") for k in range(30)]
+    got = substring_dedup.remove_repeats(documents(spark, rows))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(brute_repeats(rows))
+
+
 def test_substring_dedup_matches_brute_force(spark, odd_rows):
     rng = random.Random(8)
     passage = words(rng, 90, 3000)
