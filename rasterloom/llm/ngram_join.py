@@ -1,11 +1,11 @@
 """N-gram Jaccard join as a blocked sparse matrix product.
 
-Rows of the matrix are texts, columns are n-grams. Texts with equal sets are one row (a class). The
-columns have one order for all: by the number of rows that have them, the rarest first, and after all
-others those that are frequent in some task (so that no bucket fills up with one of them). By size
-alone a row of n entries with a partner at similarity t shares one of its first n - ceil(t n) + 1
-columns, so only that part of the matrix is multiplied; columns of one row alone fill most of it and
-are never listed:
+Rows of the matrix are texts, columns are n-grams. Texts with equal word sequences are one row (a class,
+told by SHA-256). The columns have one order for all: by the number of rows that have them, the rarest
+first, and after all others those that are frequent in some task (so that no bucket fills up with one of
+them). By size alone a row of n entries with a partner at similarity t shares one of its first
+n - ceil(t n) + 1 columns, so only that part of the matrix is multiplied; columns of one row alone fill
+most of it and are never listed:
 
 1. entries are sorted by column and streamed; columns with one row go. Every other row is compared
    with its columns' first rows, whole, and labelled by the smallest it is linked with. That is linear
@@ -13,19 +13,25 @@ are never listed:
 2. The product proper: rows of columns that aren't all under one label are multiplied in blocks of
    about `block` by `block` rows, over all columns. Overlaps are accumulated strip by strip and pairs
    below the bound that follows from their sizes are discarded where they arise. No link across labels
-   is lost, and links under one label change nothing.
+   is lost, and links under one label change nothing. A block is written once to the shared folder; the
+   task of a pair of blocks reads the two.
 
-The order of the columns costs or saves time, never a link: it only has to be the same for all rows.
+Columns are 64-bit hashes under a key that is drawn for each run, so that no text can be written to make
+two of them collide; they find candidates. Whether two rows link is told by their words themselves
+(`Shingles`), and so is what a class is. The order of the columns costs or saves time, never a link: it
+only has to be the same for all rows.
 
 Defined results: null or empty texts have size 0 and link with nothing; texts below n words are one
-n-gram; a row without id is a component of its own, null; rows that repeat an id are one node of the
-graph but keep their own sizes; ties need no rule; an empty table gives an empty result; other
-columns are ignored.
+n-gram; texts of any length are taken whole; a row without id is a component of its own, null; rows that
+repeat an id are one node of the graph but keep their own sizes; ties need no rule; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import secrets
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,38 +39,80 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import components, settle, small_batches, tidy
-from .textkernel import gram_hashes, mix, row_words, text_chunks, whole_hash
+from .common import components, open_fs, scratch, settle, small_batches, tidy, write_file
+from .textkernel import gram_hashes, row_digests, row_text, row_words, text_chunks, whole_hash
 
 
-def gram_sets(column: pa.Array, n: int):
-    """(row, sorted distinct n-gram hashes) of every row with words."""
+def gram_sets(column: pa.Array, n: int, key: int):
+    """(row, sorted distinct n-gram hashes, digest of its words) of every row with words."""
     for a, b, buf, offsets in text_chunks(column):
-        words, first = row_words(buf, offsets, lower=True)
-        grams = gram_hashes(words, n)
-        f = first.tolist()
+        words, first = row_words(buf, offsets, lower=True, key=key)
+        grams, digests, f = gram_hashes(words, n), row_digests(buf, offsets, lower=True), first.tolist()
         for k in range(b - a):
             size = f[k + 1] - f[k]
             if size >= n:
                 g = np.sort(grams[f[k] : f[k + 1] - n + 1])
-                yield a + k, g[np.concatenate([[True], g[1:] != g[:-1]])]
+                yield a + k, g[np.concatenate([[True], g[1:] != g[:-1]])], digests[k]
             elif size:
-                yield a + k, np.array([whole_hash(words[f[k] : f[k + 1]], salt=size)], np.uint64)
+                yield a + k, np.array([whole_hash(words[f[k] : f[k + 1]], salt=size)], np.uint64), digests[k]
 
 
-def _class_of(grams: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set."""
-    with np.errstate(over="ignore"):
-        one = mix(grams ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(grams))
-        two = mix(grams ^ np.uint64(0x3C3C3C3C3C3C3C3C)).sum(dtype=np.uint64) ^ np.uint64(len(grams) << 40)
-    return int(np.int64(one.view(np.int64))), int(np.int64(two.view(np.int64)))
+def _class_of(digest: bytes) -> int:
+    """What a class goes by in columns; the few classes that share it find each other's candidates, and are compared by their own words."""
+    return int.from_bytes(digest[:8], "little", signed=True)
 
 
-_SCAN = "frequent boolean, a long, b long, n int, doc long"
+class Shingles:
+    """The distinct n-grams of a text's words, for exact comparison: words are numbered by themselves, n-grams by the numbers of their words."""
 
+    def __init__(self, text: bytes, n: int):
+        self.words, self.n = text.split(), n
 
-def scan_sets(df: DataFrame, n: int, often: int = 16, flush: int = 1 << 20) -> DataFrame:
-    """One pass over id, text: (false, class, check, size, id) of each row and (true, n-gram, null, count, null) of n-grams seen `often` times in a task's stretch."""
+    @cached_property
+    def steps(self):
+        """(words' numbers, ranks of the runs of 2, 3 ... words); the last are the n-grams, or the whole text where it is shorter."""
+        number: dict[bytes, int] = {}
+        ids = np.array([number.setdefault(w, len(number)) for w in self.words], np.int64)
+        self.sizes, tables, run = len(number), [], ids
+        for k in range(1, min(self.n, len(ids))):
+            table, run = np.unique(run[:-1] * len(number) + ids[k:], return_inverse=True)
+            tables.append(table)
+        return number, tables, int(run.max()) + 1
+
+    def __len__(self) -> int:
+        return self.steps[2]
+
+    def common(self, text: bytes) -> tuple[int, int]:
+        """(n-grams that both have, n-grams of the other)."""
+        number, tables, _ = self.steps
+        words = text.split()
+        whole = min(self.n, len(words))
+        other: dict[bytes, int] = {}
+        ids = np.array([number.get(w, -1) for w in words], np.int64)
+        own = np.array([other.setdefault(w, len(other)) for w in words], np.int64)
+        run, mine, size = ids, own, 0
+        for k in range(1, whole):
+            mine = np.unique(mine[:-1] * len(other) + own[k:], return_inverse=True)[1]
+        size = int(mine.max()) + 1
+        if whole != min(self.n, len(self.words)):
+            return 0, size
+        for k, table in enumerate(tables, 1):
+            code = np.where((run[:-1] >= 0) & (ids[k:] >= 0), run[:-1] * len(number) + ids[k:], -1)
+            at = np.minimum(np.searchsorted(table, code), len(table) - 1)
+            run = np.where(table[at] == code, at, -1)
+        return len(np.unique(run[run >= 0])), size
+
+
+def linked(a: Shingles, b: bytes, percent: int) -> bool:
+    common, size = a.common(b)
+    return 100 * common >= percent * (len(a) + size - common)
+
+
+_SCAN = "gram long, cls long, digest binary, n int, doc long"
+
+
+def scan_sets(df: DataFrame, n: int, key: int, often: int = 16, flush: int = 1 << 20) -> DataFrame:
+    """One pass over id, text: (null, class, its digest, size, id) of each row and (n-gram, nulls, count, null) of n-grams seen `often` times in a task's stretch."""
 
     def run(batches):
         names = [f.split()[0] for f in _SCAN.split(", ")]
@@ -74,22 +122,19 @@ def scan_sets(df: DataFrame, n: int, often: int = 16, flush: int = 1 << 20) -> D
             g, c = np.unique(np.concatenate(held), return_counts=True)
             hot = c >= often
             m = int(hot.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, bool)), pa.array(g[hot].view(np.int64)), pa.nulls(m, pa.int64()), pa.array(c[hot].astype(np.int32)), pa.nulls(m, pa.int64())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(g[hot].view(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(c[hot].astype(np.int32)), pa.nulls(m, pa.int64())], names=names)
 
         for batch in batches:
             ids = batch.column(0)
-            at, one, two, size = [], [], [], []
-            for row, grams in gram_sets(batch.column(1), n):
-                a, b = _class_of(grams)
-                at.append(row), one.append(a), two.append(b), size.append(len(grams))
+            digests, cls, size = [b""] * len(ids), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int32)
+            for row, grams, digest in gram_sets(batch.column(1), n, key):
+                digests[row], cls[row], size[row] = digest, _class_of(digest), len(grams)
                 held.append(grams)
                 total += len(grams)
                 if total > flush:
                     yield frequent()
                     held, total = [], 0
-            full = np.zeros((3, len(ids)), np.int64)
-            full[:, at] = [one, two, size]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), bool)), pa.array(full[0]), pa.array(full[1]), pa.array(full[2].astype(np.int32)), ids], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.array(cls), pa.array(digests, pa.binary()), pa.array(size), ids], names=names)
         if held:
             yield frequent()
 
@@ -98,10 +143,10 @@ def scan_sets(df: DataFrame, n: int, often: int = 16, flush: int = 1 << 20) -> D
 
 _PACKED = "bucket int, task int, owners binary, counts binary, keys binary, doc int, cls long, n int, late int"
 #: Bytes of an n-gram's hash that are sent beside its bucket. Hashes that agree in those count as one column: that adds pairs to verify and loses none.
-_KEY = 5
+_KEY = 4
 
 
-def packed_grams(df: DataFrame, n: int, t: float, frequent: np.ndarray, bits: int, firsts: np.ndarray) -> DataFrame:
+def packed_grams(df: DataFrame, n: int, key: int, t: float, frequent: np.ndarray, bits: int, firsts: np.ndarray) -> DataFrame:
     """Every class's n-grams but the frequent ones, by hash bucket, packed; and a head row for each class.
 
     firsts: bitmap of the classes' smallest ids, so that hardly any class is sent twice; a task sends it once.
@@ -110,6 +155,7 @@ def packed_grams(df: DataFrame, n: int, t: float, frequent: np.ndarray, bits: in
     task, doc, cls, n, late), or the frequent n-grams of a class that could need them (bucket -2).
     """
     sent = df.sparkSession.sparkContext.broadcast((frequent, firsts))
+    flush = max(1 << 20, 1 << (bits + 4))  # so that a bucket's run has some entries
 
     def run(batches):
         from pyspark import TaskContext
@@ -140,11 +186,11 @@ def packed_grams(df: DataFrame, n: int, t: float, frequent: np.ndarray, bits: in
         held = 0
         for batch in batches:
             some = batch.filter(pa.array(sketch.test(known, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))))
-            for _, grams in gram_sets(some.column(1), n):
-                cls = _class_of(grams)[0]
-                if cls in seen:
+            for _, grams, digest in gram_sets(some.column(1), n, key):
+                if digest in seen:
                     continue
-                seen.add(cls)
+                seen.add(digest)
+                cls = _class_of(digest)
                 size, late = len(grams), np.zeros(0, np.int64)
                 if len(hot[0]):
                     i = np.minimum(np.searchsorted(hot[0], grams), len(hot[0]) - 1)
@@ -158,7 +204,7 @@ def packed_grams(df: DataFrame, n: int, t: float, frequent: np.ndarray, bits: in
                 grams_held.append(grams), sizes.append(len(grams))
                 number += 1
                 held += size
-                if held > 1 << 20:
+                if held > flush:
                     yield out()
                     held = 0
         if rows:
@@ -321,8 +367,8 @@ def shared_columns(entries: DataFrame) -> DataFrame:
     return entries.repartition(F.col("gram")).sortWithinPartitions("gram", "cls").mapInArrow(run, _POSTS)
 
 
-def make_sets(wanted: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """(cls, data): the whole sets of the wanted classes (cls, doc), made anew where their texts are read."""
+def make_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(num, data): the words of the wanted classes (num, digest, doc), made anew where their texts are read."""
     count = wanted.count()
     bitmap = sketch.bitmap_of(wanted.select("doc"), min(26, sketch.bits_for(count)))
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -331,50 +377,38 @@ def make_sets(wanted: DataFrame, docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             hit = sketch.test(sent.value, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
             some = batch.filter(pa.array(hit))
-            ids = some.column(0).to_pylist()
-            cls, doc, data, held = [], [], [], 0
-            for row, grams in gram_sets(some.column(1), n) if len(ids) else ():
-                cls.append(_class_of(grams)[0]), doc.append(ids[row]), data.append(grams.tobytes())
-                held += grams.nbytes
-                if held > 1 << 22:
-                    yield pa.RecordBatch.from_pydict({"cls": cls, "doc": doc, "data": pa.array(data, pa.binary())})
-                    cls, doc, data, held = [], [], [], 0
-            if cls:
-                yield pa.RecordBatch.from_pydict({"cls": cls, "doc": pa.array(doc, pa.int64()), "data": pa.array(data, pa.binary())})
-
-    made = docs.select("id", "text").where("id is not null").mapInArrow(run, "cls long, doc long, data binary")
-    return made.join(wanted, ["cls", "doc"], "left_semi").dropDuplicates(["cls", "doc"]).select("cls", "data")
-
-
-def verify(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 32) -> DataFrame:
-    """Links (a, b) among pairs of classes, compared whole; of the links that a task finds those that span its components."""
-    salt = F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")
-    right = pairs.select("a", "b", salt.alias("salt"))
-    left = right.select("a", "salt").distinct().join(sets, F.col("a") == F.col("cls")).select("a", "salt", F.lit(None).cast("long").alias("b"), "data")
-    right = right.join(sets, F.col("b") == F.col("cls")).select("a", "salt", "b", "data")
+            for a, b, buf, offsets in text_chunks(some.column(1)):
+                text, at, first = row_text(buf, offsets, lower=True)
+                ends = at[first].tolist()
+                data = [text[x:y].tobytes() for x, y in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([some.column(0).slice(a, b - a), pa.array(row_digests(buf, offsets, lower=True), pa.binary()), pa.array(data, pa.binary())], names=["doc", "digest", "data"])
+
+    made = docs.select("id", "text").where("id is not null").mapInArrow(run, "doc long, digest binary, data binary")
+    return made.join(wanted, ["digest", "doc"]).dropDuplicates(["num"]).select("num", "data")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int, salts: int = 32, share: int = 256) -> DataFrame:
+    """Links (a, b) among pairs of classes, compared word by word; of the links that a task finds those that span its components.
+
+    A row's text goes once to each of its tasks: `salts` of them, or one for `share` pairs where it has more.
+    """
+    many = pairs.groupBy(F.col("a").alias("k")).agg(F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") > salts * share)
+    of = F.coalesce(F.ceil(F.col("pairs") / share), F.lit(salts))
+    right = pairs.join(many, F.col("a") == F.col("k"), "left").select("a", "b", F.pmod(F.xxhash64("b"), of).cast("int").alias("salt"))
+    left = right.select("a", "salt").distinct().join(texts, F.col("a") == F.col("num")).select("a", "salt", F.lit(None).cast("long").alias("b"), "data")
+    right = right.join(texts, F.col("b") == F.col("num")).select("a", "salt", "b", "data")
     both = left.union(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches):
         now, mine, parent = None, None, {}
-
-        def root(v):
-            while (up := parent.setdefault(v, v)) != v:
-                parent[v] = v = parent[up]
-            return v
-
         for batch in batches:
             a_out, b_out = [], []
             for i, (a, salt, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
                 if b is None:
-                    now, mine = (a, salt), np.frombuffer(batch.column(3)[i].as_py(), np.uint64)
+                    now, mine = (a, salt), Shingles(batch.column(3)[i].as_py(), n)
                 elif now == (a, salt):
-                    x, y = root(a), root(b)
-                    if x == y:
-                        continue
-                    grams = np.frombuffer(batch.column(3)[i].as_py(), np.uint64)
-                    at = np.minimum(np.searchsorted(mine, grams), len(mine) - 1)
-                    common = int((mine[at] == grams).sum())
-                    if 100 * common >= percent * (len(mine) + len(grams) - common):
+                    x, y = _root(parent, a), _root(parent, b)
+                    if x != y and linked(mine, batch.column(3)[i].as_py(), percent):
                         parent[max(x, y)] = min(x, y)
                         a_out.append(a), b_out.append(b)
             if a_out:
@@ -385,6 +419,12 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 32) ->
     return both.mapInArrow(run, "a long, b long")
 
 
+def _root(parent: dict[int, int], v: int) -> int:
+    while (up := parent.setdefault(v, v)) != v:
+        parent[v] = v = parent[up]
+    return v
+
+
 def overlaps(rows: list[np.ndarray], others: list[np.ndarray]):
     """Strips of the product of two blocks' incidence matrices: (place of the row, its overlap with every other row)."""
     flat = np.concatenate(others)
@@ -400,70 +440,125 @@ def overlaps(rows: list[np.ndarray], others: list[np.ndarray]):
         yield k, np.bincount(own[np.repeat(lo - off[:-1], size) + np.arange(off[-1])], minlength=len(others))
 
 
-def block_links(posts: DataFrame, sets: DataFrame, block: int, percent: int) -> DataFrame:
+def product(left: Block, right: Block, n: int, key: int, percent: int) -> list[tuple[int, int]]:
+    """Links between rows of two blocks under different labels, those that join labels: overlaps say which may link, their words which do."""
+    parent: dict[int, int] = {}
+    found, exact = [], {}
+    sets, others = ([g for _, g, _ in gram_sets(pa.array(b.data, pa.large_binary()).cast(pa.large_string()), n, key)] for b in (left, right))
+    size = np.array([len(g) for g in others])
+    for k, common in overlaps(sets, others):
+        ok = (100 * common >= percent * (len(sets[k]) + size - common)) & (right.comp != left.comp[k])
+        for m in np.flatnonzero(ok).tolist():
+            x, y = _root(parent, int(left.comp[k])), _root(parent, int(right.comp[m]))
+            if x == y:
+                continue
+            if k not in exact:
+                exact = {k: Shingles(left.data[k], n)}
+            if linked(exact[k], right.data[m], percent):
+                parent[max(x, y)] = min(x, y)
+                found.append((int(left.num[k]), int(right.num[m])))
+    return found
+
+
+class Block:
+    """Rows of a block: classes, their labels, their words."""
+
+    def __init__(self, num, comp, data: list[bytes]):
+        self.num, self.comp, self.data = np.asarray(num, np.int64), np.asarray(comp, np.int64), data
+
+    def pack(self) -> bytes:
+        """Rows' number, classes, labels, lengths, words."""
+        sizes = np.array([len(d) for d in self.data], np.int64)
+        return b"".join([np.int64(len(sizes)).tobytes(), self.num.tobytes(), self.comp.tobytes(), sizes.tobytes(), *self.data])
+
+    @classmethod
+    def unpack(cls, raw: bytes) -> Block:
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+        num, comp, sizes = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(3, n)
+        off = np.concatenate([[0], np.cumsum(sizes)]) + 8 + 24 * n
+        return cls(num, comp, [raw[x:y] for x, y in zip(off.tolist(), off[1:].tolist())])
+
+
+def block_links(posts: DataFrame, texts: DataFrame, n: int, key: int, block: int, percent: int) -> DataFrame:
     """Links (a, b) across labels among rows that share a column; posts has their label `comp`.
 
     Rows of columns with the same first row form a group, which is cut in blocks of about `block`
-    rows; each pair of blocks is a task of its own. It multiplies the blocks' whole incidence
-    matrices, strip by strip, and keeps the pairs whose overlap reaches the bound for their sizes;
-    of those, the ones that join its components.
+    rows. A group of one block is multiplied where it is; of a larger one each block is written once,
+    and each pair of blocks is a task's that reads the two. Their whole incidence matrices are
+    multiplied, strip by strip, and of the pairs whose overlap reaches the bound for their sizes those
+    that link and join components are kept.
     """
+    spark = posts.sparkSession
     mixed = posts.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("gram")
-    rows = posts.join(mixed, "gram", "left_semi").groupBy("lead", "cls").agg(F.first("comp").alias("comp"), F.first("n").alias("n"))
-    # About `block` rows a block, and about a million n-grams, 8 MB, where rows are long.
+    rows = posts.join(mixed, "gram", "left_semi").groupBy("lead", "num").agg(F.first("comp").alias("comp"), F.first("n").alias("n"))
+    # About `block` rows a block, and about a million n-grams where rows are long.
     large = rows.groupBy("lead").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / 1_000_000)).cast("int").alias("blocks"))
-    rows = rows.drop("n").join(large, "lead").join(sets, "cls").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "comp", "data")
+    rows = rows.drop("n").join(large, "lead").join(texts, "num").withColumn("own", F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int"))
+    folder, schema = scratch(spark, "blocks"), "a long, b long, lead long, own int, blocks int, path string, at long, size long"
 
-    def run(batches):
-        now, parts = None, []
-        a_out, b_out = [], []
-
-        def product():
-            left, right = ([x for x in parts if x[0] == k] for k in now[1:])
-            if now[1] == now[2]:
-                right = left
-            if not left or not right:
-                return
-            parent: dict[int, int] = {}
-
-            def root(v):
-                while (up := parent.setdefault(v, v)) != v:
-                    parent[v] = v = parent[up]
-                return v
-
-            size = np.array([len(x[3]) for x in right])
-            comp = np.array([x[2] for x in right])
-            for k, common in overlaps([x[3] for x in left], [x[3] for x in right]):
-                _, cls, own, grams = left[k]
-                ok = (100 * common >= percent * (len(grams) + size - common)) & (comp != own)
-                for m in np.flatnonzero(ok).tolist():
-                    x, y = root(own), root(int(comp[m]))
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-                        a_out.append(cls), b_out.append(right[m][1])
+    def write(batches):
+        from pyspark import TaskContext
+
+        name = f"{folder}/{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}.bin"
+        names = [f.split()[0] for f in schema.split(", ")]
+        at, links, index, now, held, number = 0, [], [], None, [], 0
+
+        def done():
+            nonlocal at, number
+            b = Block(*zip(*held)) if held else None
+            if now[2] == 1:
+                links.extend(product(b, b, n, key, percent))
+            else:
+                raw = b.pack()
+                path = name.replace(".bin", f"-{number}.bin")
+                write_file(path, [raw])
+                index.append((*now, path, 0, len(raw)))
+                number += 1
 
         def out():
-            batch = pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
-            a_out.clear(), b_out.clear()
+            rows = [(a, b, *[None] * 6) for a, b in links] + [(None, None, *i) for i in index]
+            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+            links.clear(), index.clear()
             return batch
 
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
         for batch in batches:
-            for k, (lead, i, j, own, cls, comp) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)))):
-                if (lead, i, j) != now:
-                    if parts:
-                        product()
-                    now, parts = (lead, i, j), []
-                parts.append((own, cls, comp, np.frombuffer(batch.column(6)[k].as_py(), np.uint64)))
-            if len(a_out) > 1 << 12:
+            for k, (lead, own, blocks, num, comp) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)))):
+                if (lead, own, blocks) != now:
+                    if now:
+                        done()
+                    now, held = (lead, own, blocks), []
+                held.append((num, comp, batch.column(5)[k].as_py()))
+            if len(links) + len(index) > 1 << 12:
                 yield out()
-        if parts:
-            product()
-        if a_out:
+        if now:
+            done()
+        if links or index:
             yield out()
 
-    return rows.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j").mapInArrow(run, "a long, b long")
+    own = rows.select("lead", "own", "blocks", "num", "comp", "data").repartition("lead", "own").sortWithinPartitions("lead", "own", "num").mapInArrow(write, schema)
+    own = settle(own, "blocked")
+    ref = F.struct("own", "path", "at", "size")
+    pairs = own.where("path is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.groupBy("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.array_sort(F.collect_set(ref)).alias("refs"))
+
+    def read(batches):
+        def load(r):
+            fs, path = open_fs(r["path"])
+            with fs.open_input_file(path) as f:
+                f.seek(r["at"])
+                return Block.unpack(f.read(r["size"]))
+
+        for batch in batches:
+            for i, j, refs in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if i == j or len(refs) == 2:  # a block may have got no rows
+                    left = load(refs[0])
+                    links = product(left, load(refs[1]) if len(refs) == 2 else left, n, key, percent)
+                    if links:
+                        yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    between = pairs.select("i", "j", "refs").repartition(F.xxhash64("lead", "i", "j")).mapInArrow(read, "a long, b long")
+    return own.where("path is null").select("a", "b").union(between)
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, block: int = 512, frequent: int = 1 << 18) -> DataFrame:
@@ -473,43 +568,45 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _near_components(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, block: int, frequent: int) -> DataFrame:
-    t, spark = percent / 100, df.sparkSession
+    t, spark, key = percent / 100, df.sparkSession, secrets.randbits(64)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = settle(scan_sets(docs, n), "sets")
-    hot = found.where("frequent").groupBy("a").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "a").limit(frequent).collect()  # at most `frequent` rows
+    found = settle(scan_sets(docs, n, key), "sets")
+    hot = found.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "gram").limit(frequent).collect()  # at most `frequent` rows
     table = np.array([r[0] for r in hot], np.int64).view(np.uint64)
     place = np.arange(len(table), 0, -1).astype(np.uint64)  # the most frequent has the last place
     by = np.argsort(table)
     hot_table = (table[by], place[by])
-    nodes = found.where("not frequent").select(F.col("doc").alias("id"), F.col("a").alias("cls"), F.col("b").alias("check"), F.col("n").alias("size"))
-    classes = settle(nodes.where("size > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("doc")), "classes")
+    nodes = found.where("gram is null").select(F.col("doc").alias("id"), "cls", "digest", F.col("n").alias("size"))
+    # Classes get numbers of their own, since rows may repeat an id with another text; written, the numbers stay.
+    classes = nodes.where("size > 0 and id is not null").groupBy("digest").agg(F.first("cls").alias("cls"), F.min("id").alias("doc"), F.first("size").alias("size"))
+    classes = settle(classes.withColumn("num", F.monotonically_increasing_id()), "classes")
     total = nodes.agg(F.sum("size")).first()[0] or 0
-    bits = min(16, max(5, int(total // 1_500_000).bit_length()))  # about a million n-grams a bucket
+    bits = min(20, max(5, int(total // 1_500_000).bit_length()))  # about a million n-grams a bucket
     firsts = sketch.bitmap_of(classes.select("doc"), min(26, sketch.bits_for(classes.count())))
-    repeated = repeated_grams(packed_grams(docs, n, t, hot_table, bits, firsts))
+    repeated = repeated_grams(packed_grams(docs, n, key, t, hot_table, bits, firsts))
     posts = settle(shared_columns(prefix_entries(repeated, t)), "columns")
     tidy(spark)
-    wanted = settle(posts.select("cls").distinct().join(classes, "cls").select("cls", "doc"), "wanted")
-    sets = settle(make_sets(wanted, docs, n), "whole-sets")
+    posts = posts.join(classes.select("cls", "num", "size"), "cls").select("gram", "num", F.col("size").alias("n"), "lead", "leads")
+    wanted = settle(posts.select("num").distinct().join(classes, "num").select("num", "digest", "doc"), "wanted")
+    texts = settle(make_texts(wanted, docs), "words")
     # Each row against the first rows of its columns. Labels say what that joins; they needn't be complete.
     sized = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(t) - 1e-9
-    star = posts.select(F.explode("leads").alias("a"), F.col("cls").alias("b"), F.col("n").alias("nb")).distinct()
-    size = nodes.select(F.col("cls").alias("c"), F.col("size").alias("na")).distinct()
-    star = star.join(size, F.col("a") == F.col("c")).where(sized).select("a", "b")
-    links = settle(verify(star, sets, percent), "star")
+    star = posts.select(F.explode("leads").alias("l"), F.col("num").alias("b"), F.col("n").alias("nb")).distinct()
+    star = star.join(classes.select(F.col("cls").alias("l"), F.col("num").alias("a"), F.col("size").alias("na")), "l").where(sized & (F.col("a") != F.col("b"))).select("a", "b")
+    links = settle(verify(settle(star, "star"), texts, n, percent), "star-links")
     label = links.groupBy(F.col("b").alias("c")).agg(F.min("a").alias("m"))
     up = label.select(F.col("c").alias("d"), F.col("m").alias("m2"))
     label = label.join(up, F.col("m") == F.col("d"), "left").select("c", F.coalesce("m2", "m").alias("m"))
-    posts = posts.join(label, F.col("cls") == F.col("c"), "left").withColumn("comp", F.coalesce("m", "cls")).select("gram", "cls", "n", "p", "lead", "comp")
-    links = links.union(settle(block_links(settle(posts, "labelled"), sets, block, percent), "product"))
+    posts = posts.join(label, F.col("num") == F.col("c"), "left").select("gram", "num", "n", "lead", F.coalesce("m", "num").alias("comp"))
+    links = links.union(settle(block_links(settle(posts, "labelled"), texts, n, key, block, percent), "product"))
     tidy(spark)
     # From classes to ids: a class's smallest id stands for it.
-    first = classes.select(F.col("cls").alias("c"), "doc")
-    other = classes.select(F.col("cls").alias("d"), F.col("doc").alias("doc2"))
-    between = links.join(first, F.col("a") == F.col("c")).join(other, F.col("b") == F.col("d")).select(F.col("doc").alias("a"), F.col("doc2").alias("b"))
+    first = classes.select(F.col("num").alias("a"), F.col("doc").alias("doc_a"))
+    other = classes.select(F.col("num").alias("b"), F.col("doc").alias("doc_b"))
+    between = links.join(first, "a").join(other, "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
     label = components(between, "near").select(F.col("id").alias("k"), "component_id")
-    label = first.join(label, F.col("doc") == F.col("k"), "left").select("c", F.coalesce("component_id", "doc").alias("component_id"))
-    out = nodes.join(label, (F.col("cls") == F.col("c")) & (F.col("size") > 0) & F.col("id").isNotNull(), "left")
+    label = classes.select(F.col("digest").alias("d"), "doc").join(label, F.col("doc") == F.col("k"), "left").select("d", F.coalesce("component_id", "doc").alias("component_id"))
+    out = nodes.join(label, (F.col("digest") == F.col("d")) & (F.col("size") > 0) & F.col("id").isNotNull(), "left")
     return out.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 

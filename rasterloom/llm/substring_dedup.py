@@ -104,7 +104,7 @@ def repeated_spans(df: DataFrame, window: int, gram: int) -> DataFrame:
                 if not hit.any():
                     continue
                 row, start, size, keys, at = row[hit], start[hit], size[hit], keys[hit], at[hit]
-                text, where = row_text(*chunk)
+                text, where, _ = row_text(*chunk)
                 text = memoryview(text)
                 digests = [_digest(text[x:y]) for x, y in zip(where[at].tolist(), where[at + size + window - 1].tolist())]
                 cols = [keys.view(np.int64), digests, size.astype(np.int32), ids[a + row], hashes[a + row], start.astype(np.int32)]
@@ -135,7 +135,7 @@ def span_windows(df: DataFrame, spans: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for i, (key, mark, starts, sizes) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4)))):
                 for _, _, buf, offsets in text_chunks(batch.column(2).slice(i, 1)):
-                    text, where = row_text(buf, offsets)
+                    text, where, _ = row_text(buf, offsets)
                 text = memoryview(text)
                 at = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, sizes)])
                 for a in range(0, len(at), 1 << 14):

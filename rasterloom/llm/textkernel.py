@@ -144,20 +144,52 @@ def row_words(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, key: in
     return words, np.array([0, len(words)])
 
 
-def row_text(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(the words' bytes, each word followed by one space; where each word begins, and the end): what `row_words` hashes, to be compared."""
+def row_digests(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> list[bytes]:
+    """SHA-256 of each row's word sequence: the words' bytes, their lengths, their number. Empty for rows without words."""
+    if lower:
+        buf = _LOWER[buf]
+    n = len(offsets) - 1
+    if len(buf) <= 2 * CHUNK or n > 1:
+        starts, ends, first = find_words(buf, offsets)
+        size = (ends - starts).astype("<u4")
+        off = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        data, sizes = memoryview(buf[_IN_WORD[buf]]), memoryview(size)
+        out = []
+        for a, b, x, y in zip(first.tolist(), first[1:].tolist(), off[first].tolist(), off[first[1:]].tolist()):
+            if a == b:
+                out.append(b"")
+                continue
+            h = hashlib.sha256(data[x:y])
+            h.update(sizes[a:b])
+            h.update((b - a).to_bytes(8, "little"))
+            out.append(h.digest())
+        return out
+    h, sizes = hashlib.sha256(), []
+    for _, piece in _pieces(buf):
+        starts, ends, _ = find_words(piece, np.array([0, len(piece)]))
+        h.update(piece[_IN_WORD[piece]])
+        sizes.append((ends - starts).astype("<u4"))
+    size = np.concatenate(sizes)
+    h.update(size)
+    h.update(len(size).to_bytes(8, "little"))
+    return [h.digest() if len(size) else b""]
+
+
+def row_text(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the words' bytes, each word followed by one space; where each begins, and the end; each row's first word, and the end): what `row_words` hashes, to be compared."""
     if lower:
         buf = _LOWER[buf]
     if len(buf) <= 2 * CHUNK or len(offsets) > 2:
-        starts, ends, _ = find_words(buf, offsets)
-        return joined_words(buf, starts, ends)
+        starts, ends, first = find_words(buf, offsets)
+        return *joined_words(buf, starts, ends), first
     parts, ats, base = [], [], 0
     for _, piece in _pieces(buf):
         starts, ends, _ = find_words(piece, np.array([0, len(piece)]))
         out, at = joined_words(piece, starts, ends)
         parts.append(out), ats.append(at[:-1] + base)
         base += len(out)
-    return np.concatenate(parts), np.append(np.concatenate(ats), base)
+    at = np.append(np.concatenate(ats), base)
+    return np.concatenate(parts), at, np.array([0, len(at) - 1])
 
 
 def gram_hashes(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:

@@ -451,6 +451,16 @@ def test_near_components_match_brute_force(spark, odd_rows, block):
     assert by_text(tuple(r) for r in got.collect()) == by_text(brute_near(rows))
 
 
+def test_shingles_compare_words():
+    rng = random.Random(2)
+    for n in (1, 2, 5):
+        for _ in range(300):
+            a, b = ([rng.choice("abcd" if rng.random() < 0.9 else "efgh") for _ in range(rng.randint(1, 30))] for _ in range(2))
+            x, y = ({tuple(v[i : i + n]) for i in range(len(v) - n + 1)} or {tuple(v)} for v in (a, b))
+            s = ngram_join.Shingles(" ".join(a).encode(), n)
+            assert (len(s), *s.common(" ".join(b).encode())) == (len(x), len(x & y), len(y))
+
+
 def test_near_components_empty(spark):
     assert ngram_join.near_components(documents(spark, [])).count() == 0
     kept = ngram_join.keep_one(documents(spark, [(1, "a b c d e f", "s"), (2, "A b c d e f", "s"), (None, "q", "s")]))
