@@ -16,15 +16,20 @@ from pyspark.sql import functions as F
 #: Words are separated by ASCII white space only.
 WORD = r"[^\x20\x09-\x0D]+"
 _MADE: list[str] = []
+_OWN: str | None = None
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a session of one machine gets a temporary one, and a cluster an error."""
+    global _OWN
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if _OWN is None:
+            _OWN = tempfile.mkdtemp(prefix="rasterloom-")
+            atexit.register(shutil.rmtree, _OWN, ignore_errors=True)
+        root = f"file://{_OWN}"
     return root.rstrip("/")
 
 
@@ -88,6 +93,11 @@ def write_file(uri: str, chunks) -> int:
     return n
 
 
+def spread(files: DataFrame, key: str, most: int = 20_000) -> DataFrame:
+    """A few rows that each stand for a file, a task for each up to `most`: a number is given, as rows this small would be coalesced into one task."""
+    return files.repartition(max(1, min(most, files.count())), F.col(key))
+
+
 _LEAN = False
 
 
@@ -169,7 +179,8 @@ def components(links: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
         up = low.select(F.col("u").alias("w"), "m")
         large = edges.join(up, F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v")).union(low.select("u", "m"))
         # Small star: smaller neighbours of u, and u itself, go to the smallest of them.
-        large = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        least = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
+        large = large.join(least, F.col("u") == F.col("x"))
         pair = lambda x: F.struct(F.col(x).alias("u"), F.col("m").alias("v"))
         both = F.explode(F.when(F.col("v") == F.col("m"), F.array(pair("u"))).otherwise(F.array(pair("u"), pair("v")))).alias("e")
         edges = settle(large.select(both).select("e.u", "e.v").distinct(), name)

@@ -15,7 +15,8 @@ Equal vectors of one label are joined once, with their number as weight.
 Defined results: null vectors, zero vectors, vectors with null or non-finite components and vectors
 without a label have no links; vectors of different length never link; a row without id is a
 component of its own, null, and its links count for the others; rows that repeat an id count as
-separate vectors; an empty table gives an empty result; other columns are ignored.
+separate vectors; components of another type than float are compared as doubles, of any size;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,14 +68,14 @@ def _calls(y: np.ndarray, radius: float, cell: float):
         yield rows[ok], at[ok] + np.array(step), not any(step)
 
 
-_CALLS = "label int, dim int, block int, cell long, home boolean, id long, weight long, vec array<float>"
+_CALLS = "label int, dim int, block int, cell long, home boolean, id long, weight long, vec "
 
 
 def grid(classes: DataFrame, least: float, width: int, axes: int) -> DataFrame:
     """Each class's home and calls in every block; classes: label, dim, id, weight, vec."""
 
     def run(batches):
-        names = [f.split()[0] for f in _CALLS.split(", ")]
+        names = [f.split()[0] for f in _CALLS.strip().split(", ")]
         for whole in batches:
             for a in range(0, len(whole), 512):
                 part = whole.slice(a, 512)
@@ -96,7 +97,7 @@ def grid(classes: DataFrame, least: float, width: int, axes: int) -> DataFrame:
                             m = len(rows)
                             yield pa.RecordBatch.from_arrays([take.column(0), take.column(1), pa.array(np.full(m, k, np.int32)), pa.array(key), pa.array(np.full(m, home)), take.column(2), take.column(3), take.column(4)], names=names)
 
-    return classes.select("label", "dim", "id", "weight", "vec").mapInArrow(run, _CALLS)
+    return classes.select("label", "dim", "id", "weight", "vec").mapInArrow(run, _CALLS + classes.schema["vec"].dataType.simpleString())
 
 
 def _join(least: float, width: int):
@@ -160,7 +161,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     """One row per input row: id_col, n_links, component_id, kept."""
     vec = F.col(vector_col).cast("array<double>")
     fine = F.col(label_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(vec, lambda v: v != 0)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).cast("array<float>").alias("vec"), F.coalesce(fine, F.lit(False)).alias("fine"))
+    kept = "array<float>" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).cast(kept).alias("vec"), F.coalesce(fine, F.lit(False)).alias("fine"))
     rows = settle(rows.withColumn("hash", F.xxhash64("vec")), "vectors")
     # A class: one label and vector. Its number is that of its smallest row.
     numbered = rows.where("fine").groupBy("label", "vec").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("weight"))

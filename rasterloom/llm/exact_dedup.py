@@ -1,14 +1,16 @@
 """Exact dedup: tree merge of digest runs, DataFrame operations only.
 
 Every row becomes (id, SHA-256, length, second hash). Input partitions are the leaves of a binomial
-tree. In each round runs exchange parts: a run keeps the digests whose next bits name its place and
-gets the same part of the runs it is merged with, so that data stay spread over all runs and at the
-end each run holds one range of digests, merged from every leaf. A merge keeps one entry per digest
-with the identifier that stays; entries merge only if digest, length and second hash all agree.
-A group that holds a third of all rows is cut to one entry per leaf before the first exchange and to
-at most `2**bits` entries per merge after that.
+tree; as many as there are, rounded up to a power of two. In each round runs exchange parts: a run keeps
+the digests whose next bits name its place and gets the same part of the runs it is merged with, so that
+data stay spread over all runs and at the end each run holds one range of digests, merged from every
+leaf. An exchange deals by (part, run) alone; what arrives is sorted by digest and the merge, a sort-based
+aggregate, streams through that order without a further exchange. `bits` binomial rounds are done in one exchange, which makes
+a merge one of 2**bits runs. A merge keeps one entry per digest with the identifier that stays; entries
+merge only if digest, length and second hash all agree. A group that holds a third of all rows is cut to
+one entry per leaf before the first exchange and to at most `2**bits` entries per merge after that.
 
-Defined results: null text counts as empty; a null id counts below every other id and stays only in
+Defined results: texts of any length are digested whole; null text counts as empty; a null id counts below every other id and stays only in
 groups without another; of rows that repeat both id and text exactly one is kept; an empty table
 gives an empty result; other columns are ignored, whatever their names.
 """
@@ -21,33 +23,33 @@ from pyspark.sql import functions as F
 from .common import settle
 
 
-def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leaves: int = 64) -> DataFrame:
-    """(id, digest binary, size, check, run): what the merge works on."""
+def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, digest binary, size, check, run): what the merge works on; a run is a leaf's."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return df.select(
         F.col(id_col).alias("id"),
         F.unhex(F.sha2(text, 256)).alias("digest"),
         F.octet_length(text).cast("long").alias("size"),
         F.xxhash64(text).alias("check"),
-        F.pmod(F.spark_partition_id(), F.lit(leaves)).alias("run"),
+        F.spark_partition_id().alias("run"),
     )
 
 
-def merge_runs(keys: DataFrame, leaves: int = 64, bits: int = 3, keep: str = "max") -> DataFrame:
+def merge_runs(keys: DataFrame, leaves: int, bits: int = 3, keep: str = "max") -> DataFrame:
     """One row per text: (digest, size, check, keep_id, group_size, n_kept rows that carry keep_id)."""
     pick = F.max if keep == "max" else F.min
     same = ["digest", "size", "check"]
     depth = (leaves - 1).bit_length()
     place = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
     # A leaf's own run: one entry per (id, digest), then per digest, counted before anything is exchanged.
-    runs = keys.groupBy("run", *same, "id").agg(F.count(F.lit(1)).alias("n"))
+    runs = keys.repartition("run").groupBy("run", *same, "id").agg(F.count(F.lit(1)).alias("n"))
     merged = _fold(runs.withColumn("rows", F.col("n")), ["run", *same], pick)
-    done = 0
+    done = 0  # bits of the digest that the parts have agreed on
     while done < depth:
         step = min(bits, depth - done)
         done += step
         merged = merged.withColumn("run", F.shiftright("run", step)).withColumn("part", F.pmod(place, F.lit(1 << done)))
-        merged = _fold(merged, ["part", "run", *same], pick).drop("part")
+        merged = _fold(merged.repartition("part", "run"), ["part", "run", *same], pick).drop("part")
     return merged.select(*same, F.col("id").alias("keep_id"), F.col("rows").alias("group_size"), F.col("n").alias("n_kept"))
 
 
@@ -63,9 +65,10 @@ def _fold(entries: DataFrame, keys: list[str], pick) -> DataFrame:
     return out.select(*keys, F.col("c.id").alias("id"), F.col("c.n").alias("n"), "rows")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", leaves: int = 64, bits: int = 3) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", bits: int = 3) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256. `keep`: largest ("max") or smallest id stays."""
-    keys = settle(digests(df, id_col, text_col, leaves), "digests")
+    keys = settle(digests(df, id_col, text_col), "digests")
+    leaves = (keys.agg(F.max("run")).first()[0] or 0) + 1
     groups = merge_runs(keys, leaves, bits, keep)
     out = keys.join(groups, ["digest", "size", "check"])
     out = out.withColumn("top", F.col("id").eqNullSafe(F.col("keep_id")))

@@ -92,7 +92,7 @@ def _rounder(level: int, seed: int):
     return run
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, leaf: int = 20_000, fan: int = 16, seed: int = 11) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, leaf: int = 4_000, fan: int = 16, seed: int = 11) -> DataFrame:
     """One row per input row: id_col, source, size, source_size, target, copies, taken."""
     sized = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     sized = settle(sized, "sizes")

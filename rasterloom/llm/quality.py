@@ -9,7 +9,7 @@ and is sent to all tasks, which score whole texts.
 
 Defined results: null or empty texts have no features and get the score of the bias alone; rows
 without a label, or with a null one, aren't learnt from; an id with contradicting labels takes the
-larger share of them, 1 if even; if one class is missing every score is the share of class 1; no
+larger share of them, 1 if even; of texts that repeat an id one is learnt, whichever partition it is in; if one class is missing every score is the share of class 1; no
 labels give 0.5; other columns are ignored.
 """
 
@@ -131,7 +131,9 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     if allowed is not None:
         lab = lab.where(allowed)
     lab = lab.groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(lab), "id").dropDuplicates(["id"])
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(lab), "id")
+    # Of texts that repeat an id the one with the smallest hash is learnt, so that reruns agree.
+    rows = rows.groupBy("id").agg(F.min_by(F.coalesce("text", F.lit("")), F.struct(F.xxhash64("text"), F.col("text"))).alias("text"), F.min("y").alias("y"))
 
     def run(batches):
         texts, y = [], []

@@ -16,6 +16,7 @@ are ignored.
 
 from __future__ import annotations
 
+import json
 import mmap
 import re
 import struct
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import open_fs, scratch, settle, write_file
+from .common import open_fs, scratch, settle, spread, write_file
 
 _HEAD = struct.Struct("<8sIIQQ")  # magic, bytes an id, version, documents, ids
 _MAGIC = b"TOKIDS\x00\x01"
@@ -42,12 +43,25 @@ def _head(width: int, docs: int, ids: int) -> bytes:
 class WordTokenizer:
     """Encodes with the tokenizers library, each distinct piece of text once while it stays cached.
 
-    Right only for vocabularies, like the one it's made for, that lower-case texts, drop white space
-    and never join letters and other marks, or text across white space. Texts are cut at ASCII white
-    space and before marks that end a word of ASCII letters; A-Z are lowered beforehand. Texts that
-    could hold a special token's string are encoded whole.
+    That is right for vocabularies that lower-case texts, drop white space and never join letters and
+    other marks, or text across white space; texts are then cut at ASCII white space and before marks
+    that end a word of ASCII letters, and A-Z are lowered beforehand. A file with another normalizer or
+    pre-tokenizer than `_KNOWN` has its texts encoded whole, as have texts that could hold a special
+    token's string.
     """
 
+    # The settings that the cuts are right for.
+    _KNOWN = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    }
+
     #: ASCII marks but the apostrophe, after a letter and up to the end of a word. The first mark is tested before the letter: that is twice as fast.
     _MARKS = rb"[!-&(-/:-@\[-`{-~](?<=[a-z].)[!-&(-/:-@\[-`{-~]*(?=[ \t\n\x0b\x0c\r]|$)"
 
@@ -55,6 +69,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        have = json.loads(Path(path).read_text(encoding="utf-8"))
+        self.cuts = all(have.get(k) == v for k, v in self._KNOWN.items()) and all(t["content"].startswith("<|") and t["special"] for t in have["added_tokens"])
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.cut = re.compile(self._MARKS).sub
@@ -89,7 +105,7 @@ class WordTokenizer:
         """Each text's ids, the end id included, as they stand in the file."""
         cut, end = self.cut, array(self.code, [end_id]).tobytes()
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        split = [None if b"<|" in r else cut(rb" \g<0>", r.lower()).split() for r in raw]
+        split = [None if b"<|" in r or not self.cuts else cut(rb" \g<0>", r.lower()).split() for r in raw]
         seen = set().union(*[s for s in split if s])
         if len(self.cache) > self.most:  # what is in use now stays
             self.cache = {w: self.cache[w] for w in seen.intersection(self.cache)}
@@ -192,15 +208,16 @@ class TokenFile:
         return np.frombuffer(self.file.read_at(int(b - a) * self.width, int(a) * self.width), f"<u{self.width}")
 
 
-def read_tokens(manifest: DataFrame, ids: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files, with `ids` also its ids."""
+def read_tokens(manifest: DataFrame, ids: bool = False, most: int = 1 << 25) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files, with `ids` also its ids. A task reads about `most` ids of a file."""
 
     def run(batches):
         for batch in batches:
-            for ids_file, index_file, base in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for ids_file, index_file, base, k, parts in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 f = TokenFile(ids_file, index_file)
-                for a in range(0, len(f), 4096):
-                    b = min(len(f), a + 4096)
+                end = len(f) * (k + 1) // parts
+                for a in range(len(f) * k // parts, end, 4096):
+                    b = min(end, a + 4096)
                     got = [f.ids(k) for k in range(a, b)]
                     cols = {
                         "doc_id": pa.array(f.doc_ids[a:b], mask=f.null_id[a:b]),
@@ -212,8 +229,9 @@ def read_tokens(manifest: DataFrame, ids: bool = False) -> DataFrame:
                         cols["ids"] = pa.array([x.astype(np.int64) for x in got], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_pydict(cols)
 
-    files = manifest.select("ids_file", "index_file", "base").repartition(F.col("ids_file"))
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if ids else ""))
+    files = manifest.select("ids_file", "index_file", "base", F.greatest(F.ceil(F.col("n_ids") / most), F.lit(1)).cast("int").alias("parts"))
+    files = files.select("ids_file", "index_file", "base", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k"), "parts")
+    return spread(files.withColumn("at", F.xxhash64("ids_file", "k")), "at").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if ids else ""))
 
 
 def tokenized(spark: SparkSession, df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, out_dir: str | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import open_fs, scratch, settle
+from .common import open_fs, scratch, settle, spread
 
 _GZIP = b"\x1f\x8b\x08"
 _VERSION = b"WARC/1."
@@ -256,14 +256,18 @@ _READ = "path string, kind string, begins long, ends long, reason string, record
 
 
 def read_warc(files: DataFrame, payload: bool = True) -> DataFrame:
-    """Records and gaps of the archives in column `path`; kind is "record" or "gap"."""
+    """Records and gaps of the archives in column `path`; kind is "record" or "gap".
+
+    With a column `n_records`, what was written into each, a file that gives another number of records is an error.
+    """
 
     def run(batches):
         names = [f.split()[0] for f in _READ.split(", ")]
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                rows, held = [], 0
+            for path, written in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows, held, found = [], 0, 0
                 for what, a, b, head, body in salvage(path):
+                    found += what == "record"
                     if what == "gap":
                         rows.append((path, what, a, b, head, None, None, None, None, None, None, None))
                     else:
@@ -278,8 +282,10 @@ def read_warc(files: DataFrame, payload: bool = True) -> DataFrame:
                         rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=_SCHEMA)
+                if written is not None and found != written:
+                    raise RuntimeError(f"{written} records written and {found} read: {path}")
 
-    return files.select("path").repartition(F.col("path")).mapInArrow(run, _READ)
+    return spread(files.select("path", F.col("n_records") if "n_records" in files.columns else F.lit(None).cast("long").alias("n_records")), "path").mapInArrow(run, _READ)
 
 
 _SCHEMA = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (f.split() for f in _READ.split(", "))])

@@ -316,6 +316,52 @@ def test_token_files_match_the_library(spark, odd_rows, tmp_path):
     assert token_files.tokenized(spark, documents(spark, []), path).count() == 0
 
 
+def test_other_vocabularies_are_encoded_whole(spark, odd_rows, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(queries.vocabulary("word_bpe_49k.json")).read())
+    spec["normalizer"] = None  # keeps capitals
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    tok = Tokenizer.from_file(str(tmp_path / "other.json"))
+    rows = [r for r in odd_rows if r[0] is not None and r[0] not in (6,)]
+    got = token_files.tokenized(spark, documents(spark, rows), str(tmp_path / "other.json"))
+    for r in got.collect():
+        ids = tok.encode(next(t for k, t, _ in rows if k == r.doc_id) or "", add_special_tokens=False).ids + [1]
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_files_are_read_by_more_tasks_than_one(spark, tmp_path):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("http://a/").alias("url"), F.concat(F.lit("x" * 200), "id").alias("html")).repartition(6)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    files = warc.write_warc(pages, f"file://{tmp_path}/w")
+    assert files.count() > 1
+    read = common.settle(warc.read_warc(files).withColumn("task", F.spark_partition_id()), "read")
+    assert read.select("task").distinct().count() > 1 and read.where("kind = 'record'").count() == 400
+    with pytest.raises(Exception, match="records written"):
+        warc.read_warc(files.withColumn("n_records", F.col("n_records") + 1)).count()
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("some words here").alias("text")).repartition(5)
+    manifest = common.settle(token_files.write_tokens(docs, queries.vocabulary("word_bpe_49k.json"), f"file://{tmp_path}/t"), "bases")
+    for most in (1 << 25, 64):  # files whole, and in ranges of documents
+        read = common.settle(token_files.read_tokens(manifest, most=most).withColumn("task", F.spark_partition_id()), "read")
+        assert read.select("task").distinct().count() > 1 or (manifest.count() == 1 and most > 64)
+        assert [(r.doc_id, r.start) for r in read.orderBy("doc_id").collect()] == [(k, 4 * k) for k in range(300)]
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Session:
+        conf, sparkContext = Conf(), type("Context", (), {"master": "spark://a:7077"})
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_root(Session())
+    Session.sparkContext.master = "local[2]"
+    assert common.shared_root(Session()) == common.shared_root(Session())
+
+
 def test_token_file_refuses_wrong_size(spark, tmp_path):
     m = token_files.write_tokens(documents(spark, [(1, "a b", "s")]), queries.vocabulary("word_bpe_49k.json"), f"file://{tmp_path}/w").first()
     open(m.ids_file.removeprefix("file://"), "ab").write(b"x")
@@ -345,6 +391,53 @@ def test_quality_odd_input(spark, odd_rows):
     assert quality.keep_good(d, quality.fit(d, none)).columns == d.columns
 
 
+def test_ratios_and_margins_match_plain_counts():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [" ".join(words(rng, rng.randrange(12), 9)) for _ in range(60)]
+    y = np.array([rng.choice((-1.0, 1.0)) for _ in texts])
+    ((_, _, ids, bounds),) = quality.features(pa.array(texts))
+    sets = [set(ids[a:b].tolist()) for a, b in zip(bounds, bounds[1:])]
+    for t, s in zip(texts, sets):
+        w = t.split()
+        assert len(s) == len(set(w)) + len(set(zip(w, w[1:])))
+    up, down = ({f: 1 + sum(f in s for s, v in zip(sets, y) if v == side) for f in range(1 << quality.BITS) if any(f in s for s in sets)} for side in (1, -1))
+    rest = (1 << quality.BITS) - len(up)
+    r = quality.log_count_ratios(ids, bounds, y)
+    for f in up:
+        assert r[f] == pytest.approx(math.log(up[f] / (sum(up.values()) + rest)) - math.log(down[f] / (sum(down.values()) + rest)))
+    v = np.random.default_rng(1).normal(size=1 << quality.BITS)
+    got = quality.margins(ids, bounds, v, r, 0.5)
+    for m, s in zip(got, sets):
+        assert m == pytest.approx(sum(v[f] for f in s) / math.sqrt(max(1, sum(r[f] ** 2 for f in s))) + 0.5)
+
+
+def test_dual_descent_reaches_the_best_objective():
+    rng = np.random.default_rng(0)
+    n, d = 40, 6
+    x = rng.normal(size=(n, d))
+    y = np.where(x @ rng.normal(size=d) + rng.normal(size=n) > 0, 1.0, -1.0)
+    ids, bounds, cost = np.tile(np.arange(d), n), np.arange(n + 1) * d, np.full(n, 0.5)
+    w, b = quality.dual_descent(ids, bounds, x.ravel(), y, cost, epochs=2000)
+    objective = lambda u: (u @ u) / 2 + (cost * np.maximum(0, 1 - y * (np.column_stack([x, np.ones(n)]) @ u))).sum()
+    best = u = np.zeros(d + 1)  # plain subgradient descent on the primal
+    z = np.column_stack([x, np.ones(n)])
+    for k in range(1, 40_000):
+        open_ = y * (z @ u) < 1
+        u = u - (u - (cost * y * open_) @ z) / (k + 10)
+        best = min(best, u, key=objective)
+    assert objective(np.append(w[:d], b)) <= objective(best) * 1.001
+
+
+def test_repeated_ids_learn_the_same_text(spark):
+    rng = random.Random(6)
+    rows = [(k % 40, " ".join(words(rng, 8, 30)), "a") for k in range(80)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    models = [quality.fit(documents(spark, rng.sample(rows, 80)).repartition(n), labels) for n in (1, 5)]
+    assert models[0] == models[1]
+
+
 def test_dual_descent_separates():
     ids = np.array([0, 1, 0, 2, 3, 1, 3, 2])
     w, b = quality.dual_descent(ids, np.array([0, 2, 4, 6, 8]), np.ones(8), np.array([1.0, 1, -1, -1]), np.full(4, 10.0), 200)
@@ -507,6 +600,11 @@ def test_near_vectors_match_brute_force(spark):
     assert embedding_join.near_vectors(d.where("false")).count() == 0
 
 
+def test_near_vectors_of_doubles(spark):
+    d = spark.createDataFrame([(1, [1e39, 0.0], 1), (2, [1e39, 1.0], 1), (3, [0.0, 1e-300], 1), (4, [1e300, 1e300], 1), (5, [1e-300, 1e-300], 1)], "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_join.near_vectors(d).collect()} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4)}
+
+
 # -- 10 ----------------------------------------------------------------
 
 
@@ -541,6 +639,11 @@ def test_any_number_of_leaves_merges(spark, leaves):
 def test_exact_dedup_runs_no_python(spark, odd_rows):
     plan = exact_dedup.exact_dedup(documents(spark, odd_rows))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+    keys = exact_dedup.digests(documents(spark, odd_rows).repartition(16))
+    plan = exact_dedup.merge_runs(keys, 16)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert [[re.sub(r"#.*", "", c.strip()) for c in d.split(",")[:-1]] for d in dealt] == [["part", "run"], ["part", "run"], ["run"]]
+    assert plan.count("SortAggregate(key=[part") >= 2
 
 
 # -- pipeline ----------------------------------------------------------------
