@@ -76,3 +76,12 @@ def colour_steps(a: tuple[int, int, int], b: tuple[int, int, int], i: Column, st
     """Colour i of `steps` between two colours, ends included."""
     share = i / F.lit(float(max(steps - 1, 1)))
     return F.array(*[F.bround(F.lit(float(p)) + (q - p) * share, 0).cast("int") for p, q in zip(a, b)])
+
+
+def smallest_type(low: Column, high: Column) -> Column:
+    """Name of the narrowest whole-number type, unsigned if nothing is below 0, that holds low..high."""
+    unsigned, signed = F.lit("uint64"), F.lit("int64")
+    for bits in (32, 16, 8):
+        unsigned = F.when(high < 1 << bits, f"uint{bits}").otherwise(unsigned)
+        signed = F.when((low >= -(1 << bits - 1)) & (high < 1 << bits - 1), f"int{bits}").otherwise(signed)
+    return F.when(low >= 0, unsigned).otherwise(signed)

@@ -91,17 +91,23 @@ def run_bounds(df: DataFrame, keys: list[str], order: str, full: str, out: str =
 def bootstrap_mean(df: DataFrame, keys: list[str], value: str, rounds: int = 1000, seed: int = 7) -> DataFrame:
     """Mean and the 2.5 % and 97.5 % quantiles of resampled means.
 
-    Poisson resampling: in each round a row counts k times with Poisson(1) chance, from a hash of the
-    seed, the round and the row's place among its key's values. Rounds meet rows without any join, and
-    sums are partial before the shuffle, so a key of any size is fine.
+    Poisson resampling: in each round a row counts k times with Poisson(1) chance. Equal values of a key are
+    summed up first and numbered, so that the draws, hashes of seed, round, key, value and number, are the
+    same whatever the partitions; beyond 32 equal ones their common Poisson count is drawn at once, by its
+    normal approximation. Rounds meet rows without any join, and sums are partial before the shuffle, so a
+    key or a value of any size is fine.
     """
-    numbered = df.select(*keys, F.col(value).cast("double").alias("v"), F.xxhash64(*keys, value).alias("h")).where("v is not null")
-    spread = numbered.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "round", "h", F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)
+    counts = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null").groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    n, v, few = F.col("__n"), F.col("__v"), F.col("__n") <= 32
+    one = F.explode(F.when(few, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array(F.lit(1))))
+    spread = counts.select(*keys, "__v", F.when(few, 1).otherwise(n).alias("__n"), one.alias("__j")).withColumn("__round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    u, w = (F.pmod(F.xxhash64(F.lit(seed + i), "__round", *keys, "__v", "__j"), F.lit(1 << 30)) / float(1 << 30) for i in (0, 1))
     k, total, p = F.lit(0), math.exp(-1), math.exp(-1)
     for i in range(1, 9):
         k, p = k + (u >= total).cast("int"), p / i
         total += p
-    means = spread.withColumn("k", k).groupBy(*keys, "round").agg((F.sum(F.col("v") * F.col("k")) / F.when(F.sum("k") > 0, F.sum("k"))).alias("m"))
-    ends = means.groupBy(*keys).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    normal = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * w)
+    k = F.when(n == 1, k).otherwise(F.greatest(F.round(n + F.sqrt(n) * normal), F.lit(0)).cast("long"))
+    means = spread.withColumn("__k", k).groupBy(*keys, "__round").agg((F.sum(v * F.col("__k")) / F.when(F.sum("__k") > 0, F.sum("__k"))).alias("__m"))
+    ends = means.groupBy(*keys).agg(F.percentile("__m", 0.025).alias("low"), F.percentile("__m", 0.975).alias("high"))
     return df.groupBy(*keys).agg(F.avg(value).alias("mean")).join(ends, keys)

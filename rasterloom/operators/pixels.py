@@ -141,7 +141,7 @@ def newly_explored(df: DataFrame, keys: Sequence[str], frames: DataFrame) -> Dat
 
 
 def least_distance(a: DataFrame, b: DataFrame, keys: Sequence[str], reach: int) -> DataFrame:
-    """Smallest distance of two pixel sets by key, if at most `reach`, else null.
+    """Smallest distance of two pixel sets by key of the first, if at most `reach`, else null; see `nearest_distance` for any reach.
 
     Pixels are dealt to square buckets of that size and meet those of the nine buckets around: an
     equi-join, not a product.
@@ -153,7 +153,31 @@ def least_distance(a: DataFrame, b: DataFrame, keys: Sequence[str], reach: int)
     right = right.select(*keys, "y2", "x2", (F.floor(F.col("y2") / reach) + F.col("s.dy")).alias("cy"), (F.floor(F.col("x2") / reach) + F.col("s.dx")).alias("cx"))
     d2 = (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2")) + (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2"))
     found = left.join(right, [*keys, "cy", "cx"]).groupBy(*keys).agg(F.min(d2).alias("d2"))
-    return found.select(*keys, F.when(F.col("d2") <= reach * reach, F.sqrt("d2")).alias("distance"))
+    found = found.select(*keys, F.when(F.col("d2") <= reach * reach, F.sqrt("d2")).alias("distance"))
+    return a.select(*keys).distinct().join(found, list(keys), "left")
+
+
+def nearest_distance(a: DataFrame, b: DataFrame, keys: Sequence[str], reach: int = 8) -> DataFrame:
+    """Smallest distance of two pixel sets by key of the first; null where the second has no pixel.
+
+    Keys without an answer within `reach` are looked at again with four times the reach; the coordinates'
+    extent ends it.
+    """
+    far = a.select("y", "x").union(b.select("y", "x")).agg(F.max(F.greatest("y", "x")) - F.min(F.least("y", "x"))).first()[0] or 0
+    open_, parts = a.join(b.select(*keys).distinct(), list(keys), "left_semi"), []
+    while True:
+        now = least_distance(open_, b, keys, reach)
+        parts.append(now.where("distance is not null"))
+        if reach > 2 * far:
+            break
+        open_ = open_.join(now.where("distance is null"), list(keys), "left_semi")
+        if open_.isEmpty():
+            break
+        reach *= 4
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return a.select(*keys).distinct().join(found, list(keys), "left")
 
 
 def extreme_pair(df: DataFrame, keys: Sequence[str], farthest: bool = True) -> DataFrame:

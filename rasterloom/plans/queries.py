@@ -551,7 +551,10 @@ def arena_boxes(spark, sf):
     return C.same_sized_boxes(C.arena_boxes(s, ["img"], 8, 8), ["img"], 8, 8)
 
 
-@query()
+@query(f"""{IMG}, bg AS (SELECT i.img, a.y, b.x FROM (SELECT DISTINCT img FROM fg) i, range(-1, 9) a(y), range(-1, 9) b(x) EXCEPT SELECT img, y, x FROM fg),
+r(img, y, x) AS (SELECT img, y, x FROM bg WHERE y = -1 AND x = -1 UNION SELECT b.img, b.y, b.x FROM r JOIN bg b ON b.img = r.img AND abs(b.y - r.y) <= 1 AND abs(b.x - r.x) <= 1)
+--
+SELECT img, y::INT AS y, x::INT AS x FROM (SELECT img, y, x FROM fg UNION ALL (SELECT img, y, x FROM bg EXCEPT SELECT img, y, x FROM r))""", "", "img, y, x")
 def closed_holes(spark, sf):
     return C.filled(foreground(spark, sf), ["img"])
 
@@ -630,7 +633,14 @@ def oscillation_signs(spark, sf):
     return motion.oscillation_signs(videos(spark, sf), ["arena"], 2)
 
 
-@query()
+@query(f"""{VID}, m AS (SELECT *, v / nullif(avg(v) OVER (PARTITION BY arena, t), 0) AS q FROM vid), s AS (SELECT arena, t, y, x, q, lag(q) OVER w AS a, lead(q) OVER w AS b FROM m WINDOW w AS (PARTITION BY arena, y, x ORDER BY t)),
+z AS (SELECT arena, t, y, x, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN (b - a) / 4 WHEN b IS NOT NULL THEN (b - q) / 2 WHEN a IS NOT NULL THEN (q - a) / 2 END AS slope FROM s),
+g AS (SELECT arena, t, y, x, sign(slope)::INT AS sign, CASE sign(slope)::INT WHEN 1 THEN 1 ELSE 2 END AS phase FROM z WHERE slope <> 0),
+o AS (SELECT dy, dx FROM range(-1, 2) a(dy), range(-1, 2) b(dx) WHERE dy <> 0 OR dx <> 0),
+n AS (SELECT g.arena, g.t, g.y + dy AS y, g.x + dx AS x, phase, count(*) AS n FROM g, o GROUP BY ALL HAVING count(*) > 4),
+k AS (SELECT n.* FROM n JOIN (SELECT arena, t, y, x FROM z WHERE slope IS NOT NULL) p USING (arena, t, y, x))
+--
+SELECT DISTINCT k.arena, k.t, k.y::INT AS y, k.x::INT AS x, k.phase FROM k, o JOIN k l ON l.arena = k.arena AND l.t = k.t AND l.phase = k.phase AND l.y = k.y + dy AND l.x = k.x + dx""", "", "arena, t, y, x, phase")
 def oscillating_zones(spark, sf):
     return motion.oscillating_zones(motion.oscillation_signs(videos(spark, sf), ["arena"]), ["arena"])
 
@@ -894,8 +904,11 @@ def filled_states(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from . import pixel_queries  # noqa: F401  registers more
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

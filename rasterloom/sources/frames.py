@@ -1,7 +1,8 @@
 """Frame files as DataFrames: listing in natural order, decoding, capture times, and a data source of frames.
 
-Decoders are plain: .npy (images or stacks), .pgm and .ppm, .png (8-bit, not interlaced) and
-uncompressed .tif stacks. Others can be registered in DECODERS.
+Decoders are plain: .npy (images or stacks), .pgm and .ppm, .png (8-bit, not interlaced), .jpg
+(baseline), .avi (uncompressed or motion JPEG) and uncompressed .tif stacks. Others can be registered
+in DECODERS.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.formulas import natural_key
+from . import jpeg, video
 
 FRAME = "path string, page int, height int, width int, channels int, data binary"
 
@@ -108,7 +110,7 @@ def _tiff(raw: bytes) -> np.ndarray:
     return np.stack(pages)
 
 
-DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {"npy": _npy, "pgm": _netpbm, "ppm": _netpbm, "png": _png, "tif": _tiff, "tiff": _tiff}
+DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {"npy": _npy, "pgm": _netpbm, "ppm": _netpbm, "png": _png, "tif": _tiff, "tiff": _tiff, "jpg": jpeg.decode, "jpeg": jpeg.decode, "avi": video.decode}
 
 
 def pages(path: str, raw: bytes):
@@ -143,14 +145,17 @@ def list_images(spark: SparkSession, folder: str, extension: str = "", radical:
     return files.withColumn("folder", parent).withColumn("place", F.row_number().over(w) - 1).select("folder", "path", "modified", "size", "place")
 
 
-def read_frames(spark: SparkSession, folder: str, extension: str = "*") -> DataFrame:
-    """FRAME rows of all image files below a folder, decoded where they are read."""
+def read_frames(spark: SparkSession, folder: str, extension: str = "*", strict: bool = True) -> DataFrame:
+    """FRAME rows of all image files below a folder, decoded where they are read; files that no decoder knows are an error, or left out if not `strict`."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{extension}").load(folder).select("path", "content")
 
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if path.rpartition(".")[2].lower() in DECODERS:
+                known = path.rpartition(".")[2].lower() in DECODERS
+                if strict and not known:
+                    raise ValueError(f"no decoder for {path}")
+                if known:
                     rows = [(path, *p) for p in pages(path, content.as_py())]
                     yield pa.RecordBatch.from_pydict(dict(zip(("path", "page", "height", "width", "channels", "data"), map(list, zip(*rows)))), schema=_SCHEMA)
 
