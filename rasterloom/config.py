@@ -17,7 +17,12 @@ class Settings:
     filter_p: float = 1.0
     filter_q: float | None = None
     clusters: int = 2
+    detection: tuple[str, ...] = ("frame",)  # frame, luminance, slope, or the last two joined
+    detection_join: str = "And"  # And or Or
+    first_frames: int = 3  # frames that show the origin alone
+    most_growth: float = 0.05  # share of the arena that may change in half a frame
     mode: str = "grow"
+    fading: float = 0.0  # how far a left pixel's intensity has come back
     specimens: int = 1
     arenas_in_rows: int | None = None
     lighter_background: bool | None = None
@@ -41,5 +46,5 @@ class Settings:
         """Settings from JSON; what is missing takes its default, what is unknown is dropped."""
         raw = json.loads(text)
         known = {f.name for f in fields(cls)}
-        kept = {k: tuple(v) if isinstance(v, list) and k in ("descriptors", "excluded") else v for k, v in raw.items() if k in known}
+        kept = {k: tuple(v) if isinstance(v, list) and k in ("descriptors", "excluded", "detection") else v for k, v in raw.items() if k in known}
         return cls(**kept)

@@ -301,15 +301,15 @@ def gaussian(a: np.ndarray, sigma: float, order: tuple[int, int] = (0, 0)) -> np
 
 def median(a: np.ndarray, size: int = 3) -> np.ndarray:
     r = size // 2
-    p = np.pad(a.astype(float), r, mode="symmetric")
-    return np.median(np.stack([p[i : i + a.shape[0], j : j + a.shape[1]] for i in range(size) for j in range(size)]), 0)
+    p = np.pad(a.astype(float), [(0, 0)] * (a.ndim - 2) + [(r, r)] * 2, mode="symmetric")
+    return np.median(np.stack([p[..., i : i + a.shape[-2], j : j + a.shape[-1]] for i in range(size) for j in range(size)]), 0)
 
 
 def butterworth(a: np.ndarray, cutoff: float = 0.005, order: float = 2.0) -> np.ndarray:
     """High-pass in the frequency domain."""
-    fy, fx = np.fft.fftfreq(a.shape[0])[:, None], np.fft.rfftfreq(a.shape[1])[None, :]
+    fy, fx = np.fft.fftfreq(a.shape[-2])[:, None], np.fft.rfftfreq(a.shape[-1])[None, :]
     q = (np.hypot(fy, fx) / max(cutoff, 1e-9)) ** (2 * order)
-    return np.fft.irfft2(np.fft.rfft2(a) * (q / (1 + q)), s=a.shape)
+    return np.fft.irfft2(np.fft.rfft2(a) * (q / (1 + q)), s=a.shape[-2:])
 
 
 def hessian(a: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
@@ -332,7 +332,7 @@ def frangi(a: np.ndarray, sigmas, beta: float = 1.0, gamma: float | None = 1.0,
         small, big = hessian(a if black else -a.astype(float), s)
         ratio = (small / np.where(big == 0, 1e-10, big)) ** 2
         power = small**2 + big**2
-        g = gamma if gamma else max(math.sqrt(power.max()) / 2, 1e-10)
+        g = gamma if gamma else np.maximum(np.sqrt(power.max((-2, -1), keepdims=True)) / 2, 1e-10)
         v = np.exp(-ratio / (2 * beta**2)) * (1 - np.exp(-power / (2 * g**2)))
         out = np.maximum(out, np.where(big > 0, v, 0.0))
     return out
@@ -351,7 +351,8 @@ def meijering(a: np.ndarray, sigmas, black: bool = True) -> np.ndarray:
     for s in sigmas:
         small, big = hessian(a if black else -a.astype(float), s)
         v = np.maximum(big - small / 3, 0)
-        out = np.maximum(out, v / v.max() if v.max() > 0 else v)
+        top = v.max((-2, -1), keepdims=True)
+        out = np.maximum(out, v / np.where(top > 0, top, 1.0))
     return out
 
 
@@ -374,7 +375,9 @@ def edges(a: np.ndarray, name: str) -> np.ndarray:
 
 
 def apply_filter(a: np.ndarray, name: str, p: float = 1.0, q: float | None = None) -> np.ndarray:
-    """Filters by name; p and q are sigma, or the first and last of three sigmas, or cutoff and order."""
+    """Filters by name, of one frame or an array of them; p and q are sigma, or the first and last of three sigmas, or cutoff and order. No name: unfiltered."""
+    if not name:
+        return a.astype(float)
     sigmas = np.linspace(p, q if q is not None else p, 3)
     if name == "Gaussian":
         return gaussian(a, p)

@@ -20,6 +20,19 @@ class Stack:
         self.height, self.width = (np.maximum.reduceat(v, self.first) + 1 for v in (self.y, self.x))
         self.base = np.concatenate([[0], np.cumsum(self.height + 1)])
 
+    def by_size(self, v: np.ndarray):
+        """Frames of one size at a time: (which frames, their values as (frames, height, width), which pixels, (frame, y, x) of these in the array). What a frame lacks is 0."""
+        sizes, group = np.unique(np.stack([self.height, self.width]), axis=1, return_inverse=True)
+        for k in range(sizes.shape[1]):
+            at = np.flatnonzero(group.ravel() == k)
+            place = np.full(self.n, -1)
+            place[at] = np.arange(len(at))
+            some = np.flatnonzero(place[self.own] >= 0)
+            where = place[self.own[some]], self.y[some], self.x[some]
+            a = np.zeros((len(at), *sizes[:, k]))
+            a[where] = v[some]
+            yield at, a, some, where
+
     def label(self, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(component of each pixel that is on, numbered from 0 through all frames; frame of each component)."""
         wide = int(self.width.max())

@@ -18,15 +18,19 @@ def apply_filter(df: DataFrame, keys: Sequence[str], name: str, p: float = 1.0,
     if name not in K.FILTERS:
         raise ValueError(f"no such filter: {name}")
 
-    def kernel(a, y0, x0):
-        out = K.apply_filter(a, name, p, q)
-        if rescale:
-            low, high = out.min(), out.max()
-            out = np.rint((out - low) * 255 / (high - low)) if high > low else np.zeros(out.shape)
-        for (y, x), v in np.ndenumerate(out):
-            yield y + y0, x + x0, float(v)
+    def kernel(stack, v):
+        for at, a, some, where in stack.by_size(v):
+            out = K.apply_filter(a, name, p, q)
+            own = stack.own[some]
+            yield own, stack.y[some] + stack.top[own], stack.x[some] + stack.left[own], (rescaled(out) if rescale else out)[where]
 
-    return frames.run(frames.pack(df, keys, value), keys, kernel, "y int, x int, v double")
+    return frames.run_stacks(df, keys, value, kernel, "y int, x int, v double")
+
+
+def rescaled(a: np.ndarray) -> np.ndarray:
+    """Each frame stretched to 0..255; a flat one is 0."""
+    low, high = a.min((-2, -1), keepdims=True), a.max((-2, -1), keepdims=True)
+    return np.rint((a - low) * 255 / np.where(high > low, high - low, np.inf))
 
 
 def opened_background(df: DataFrame, keys: Sequence[str], radius: int | None = None, value: str = "v") -> DataFrame:
@@ -54,12 +58,33 @@ def channel_candidates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "candidate int, space string, weights array<double>")
 
 
+# Parameters that are tried.
+SIGMAS = (0.5, 1.0, 2.0, 3.0, 4.0, 5.0, 8.0, 10.0)
+SIGMA_RANGES = ((0.5, 1.5), (1.0, 3.0), (1.5, 4.5), (2.0, 6.0), (2.5, 7.5), (3.0, 9.0), (4.0, 12.0), (5.0, 15.0))
+CUTOFFS, ORDERS = (0.02, 0.05, 0.10, 0.20, 0.40), (1.0, 2.0, 3.0, 6.0, 8.0, 10.0)
+LAPLACE_SIZES = (3.0, 4.0, 5.0, 7.0, 9.0, 11.0, 15.0, 21.0)  # of the operator's array; the stencil in it is the same
+
+
+def filter_grid() -> list[tuple[str, float | None, float | None]]:
+    """(name, p, q) of all filters and parameters that are tried."""
+    grid: list[tuple[str, float | None, float | None]] = []
+    for name in K.FILTERS:
+        if name == "Gaussian":
+            grid += [(name, s, None) for s in SIGMAS]
+        elif name == "Butterworth":
+            grid += [(name, c, o) for c in CUTOFFS for o in ORDERS]
+        elif name in ("Frangi", "Sato", "Meijering", "Hessian"):
+            grid += [(name, p, q) for p, q in SIGMA_RANGES]
+        elif name == "Laplace":
+            grid += [(name, s, None) for s in LAPLACE_SIZES]
+        else:
+            grid.append((name, None, None))
+    return grid
+
+
 def filter_candidates(spark: SparkSession) -> DataFrame:
-    """A grid of filters and parameters: (candidate, name, p, q)."""
-    grid = [("Gaussian", p, None) for p in (0.5, 1.0, 2.0, 4.0)] + [("Median", p, None) for p in (3.0, 5.0)] + [("Butterworth", p, 2.0) for p in (0.005, 0.05, 0.2)]
-    grid += [(n, p, q) for n in ("Frangi", "Sato", "Meijering", "Hessian") for p, q in ((0.5, 1.5), (1.0, 3.0))]
-    grid += [(n, 1.0, None) for n in ("Laplace", "Sharpen", "Mexican hat", "Farid", "Prewitt", "Roberts", "Scharr", "Sobel")]
-    return spark.createDataFrame([(i, *g) for i, g in enumerate(grid)], "candidate int, name string, p double, q double")
+    """The grid of filters and parameters: (candidate, name, p, q)."""
+    return spark.createDataFrame([(i, *g) for i, g in enumerate(filter_grid())], "candidate int, name string, p double, q double")
 
 
 def fair_candidates(features: DataFrame, least: int = 1, most: int = 10_000, least_area: float = 0.0, most_area: float | None = None) -> DataFrame:

@@ -172,10 +172,34 @@ def gradual(states: list[tuple[int, np.ndarray]], drafts: list[np.ndarray]) -> l
     return out
 
 
-def track_shapes(draft: DataFrame, arena: Sequence[str], height: int, width: int, rules: Rules | None = None, all_frames: DataFrame | None = None) -> DataFrame:
-    """(arena, t, y, x) of the states that follow from a draft segmentation (arena, t, y, x)."""
+class _Leaving:
+    """An arena that gets each frame's intensities too, so that pixels can be left."""
+
+    def __init__(self, rules: Rules):
+        self.arena = Arena(rules)
+
+    def frame(self, t, grey, ys, xs):
+        draft = np.zeros(grey.shape, bool)
+        draft[ys or [], xs or []] = True
+        yield from self.arena.frame(t, draft, grey)
+
+    def close(self):
+        yield from self.arena.close()
+
+
+def track_shapes(draft: DataFrame, arena: Sequence[str], height: int, width: int, rules: Rules | None = None, all_frames: DataFrame | None = None, grey: DataFrame | None = None) -> DataFrame:
+    """(arena, t, y, x) of the states that follow from a draft segmentation (arena, t, y, x).
+
+    Cells leave pixels only in the mode "move and grow", and only with the intensities: grey (arena, t, y, x, v).
+    """
     own = rules or Rules()
     keys = [*arena, "t"]
+    if grey is not None and own.mode == "move and grow":
+        on = frames.pack(draft, keys).withColumnsRenamed({"ys": "oys", "xs": "oxs"})
+        both = frames.pack(grey, keys, "v").join(on, keys, "left")
+        if all_frames is not None:
+            both = frames.with_empty_frames(both, all_frames, keys)
+        return frames.run_ordered(both, arena, "t", lambda key: _Leaving(own), "t int, y int, x int", height, width, ("oys", "oxs"))
     packed = frames.pack(draft, keys)
     if all_frames is not None:
         packed = frames.with_empty_frames(packed, all_frames, keys)

@@ -56,15 +56,7 @@ def method_scores(df: DataFrame, keys: Sequence[str], value: str = "v", black: b
     """(keys, method, variant, rolling, quality) of all variants on every frame, each by one threshold and, if `rolling`, by windows too. Frames of one size go through together."""
 
     def kernel(stack, v):
-        sizes, group = np.unique(np.stack([stack.height, stack.width]), axis=1, return_inverse=True)
-        for k in range(sizes.shape[1]):
-            at = np.flatnonzero(group.ravel() == k)
-            place = np.full(stack.n, -1)
-            place[at] = np.arange(len(at))
-            own = place[stack.own]
-            some = own >= 0
-            a = np.zeros((len(at), *sizes[:, k]))
-            a[own[some], stack.y[some], stack.x[some]] = v[some]
+        for at, a, _, _ in stack.by_size(v):
             seen: dict = {}
             for method, sets in (("frangi", FRANGI_SIGMAS), ("sato", SATO_SIGMAS)):
                 for i, s in enumerate(sets):

@@ -43,11 +43,12 @@ def otsu_segmentation(df: DataFrame, keys: Sequence[str], value: str = "v") -> D
     return above(df, otsu_thresholds(df, keys, value), keys, value, invert_large=True)
 
 
-def drifting_thresholds(background: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
-    """background: keys, t, level. The threshold moves with each frame's background level against the last frame's; if any leaves 0..255 the key has none."""
+def drifting_thresholds(background: DataFrame, keys: Sequence[str], threshold: float | DataFrame) -> DataFrame:
+    """background: keys, t, level. The threshold, one or each key's own (keys, threshold), moves with each frame's background level against the last frame's; if any leaves 0..255 the key has none."""
     w = Window.partitionBy(*keys)
     last = F.max_by("level", "t").over(w)
-    d = background.withColumn("threshold", F.lit(float(threshold)) + F.col("level") - last)
+    own = background.join(threshold, list(keys)) if isinstance(threshold, DataFrame) else background.withColumn("threshold", F.lit(float(threshold)))
+    d = own.withColumn("threshold", F.col("threshold") + F.col("level") - last)
     d = d.withColumn("fine", F.bool_and((F.col("threshold") >= 0) & (F.col("threshold") <= 255)).over(w))
     return d.where("fine").select(*keys, "t", "threshold")
 
@@ -57,7 +58,7 @@ def background_levels(df: DataFrame, keys: Sequence[str], lighter: bool, value:
     return df.groupBy(*keys, "t").agg(F.percentile(value, 0.9 if lighter else 0.1).alias("level"))
 
 
-def luminance_segmentation(df: DataFrame, background: DataFrame, keys: Sequence[str], threshold: float, lighter: bool, value: str = "v") -> DataFrame:
+def luminance_segmentation(df: DataFrame, background: DataFrame, keys: Sequence[str], threshold: float | DataFrame, lighter: bool, value: str = "v") -> DataFrame:
     """Pixels darker (light background) or brighter than their frame's threshold."""
     t = drifting_thresholds(background, keys, threshold)
     test = F.col(value) < F.col("threshold") if lighter else F.col(value) > F.col("threshold")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions import formulas, series
 from ..operators import arenas, descriptors, drawing, pixels, segmentation
 from ..sources import frames
 from ..sources import store, video
 from .bridge import CURVE, IMG, VID, curves, foreground, images, table, videos
-from .queries import _BGR, _BYTES, _CROSS, _ERODE, _OTSU, _bgr, query
+from . import pipeline, search
+from .queries import _BGR, _BYTES, _CROSS, _ERODE, _GRID, _OTSU, _bgr, query
 
 
 @query("SELECT event_id, value * 2.5::DOUBLE + 1 AS v FROM events", "v", "event_id")
@@ -192,6 +194,82 @@ def weekly_shifts(spark, sf):
     return series.slope_shifts(c.withColumn("y", F.col("y") - F.lag("y", 1, 0.0).over(w)), ["k"], "i", "y", 5)
 
 
+@query()
+def filter_search(spark, sf):
+    return search.search_filters(images(spark, sf), ["img"], 5)
+
+
+# -- modes of an analysis ----------------------------------------------------------------
+
+_ORIGIN = """og AS (SELECT arena, y, x FROM vid JOIN (SELECT arena, min(t) AS t FROM vid GROUP BY arena) USING (arena, t) WHERE v > 40),
+c0 AS (SELECT arena, y, x, max(v) AS c FROM vid JOIN (SELECT arena, min(t) AS t0 FROM vid GROUP BY arena) USING (arena) WHERE t < t0 + 3 AND (arena, y, x) IN (SELECT (arena, y, x) FROM og) GROUP BY ALL),
+cov AS (SELECT arena, min(c) AS base FROM c0 WHERE c <> 0 GROUP BY arena),
+"""
+_PICKED = """q AS (SELECT *, sum((NOT fine)::INT) OVER (PARTITION BY arena ORDER BY place) AS br FROM gr), q2 AS (SELECT *, min(br) OVER (PARTITION BY arena) AS fr FROM q WHERE fine),
+q3 AS (SELECT *, row_number() OVER (PARTITION BY arena ORDER BY place) AS o FROM q2 WHERE br = fr),
+pk AS (SELECT arena, coalesce(max(threshold), 0) AS threshold FROM (SELECT DISTINCT arena FROM gr) a LEFT JOIN (SELECT arena, arg_max(threshold, o) AS threshold FROM q3 WHERE o <= 3 GROUP BY arena) b USING (arena) GROUP BY arena)"""
+_LUMINANCE = f"""{VID}, {_ORIGIN}{_GRID.partition("GROUP BY arena),")[2].strip()}, {_PICKED},
+lv AS (SELECT arena, t, quantile_cont(v, 0.1) AS level FROM vid GROUP BY ALL), dr AS (SELECT arena, t, threshold + level - arg_max(level, t) OVER (PARTITION BY arena) AS threshold FROM lv JOIN pk USING (arena)),
+ok AS (SELECT *, bool_and(threshold BETWEEN 0 AND 255) OVER (PARTITION BY arena) AS fine FROM dr),
+lu AS (SELECT arena, t, y, x FROM vid JOIN ok USING (arena, t) WHERE fine AND v > ok.threshold)"""
+
+
+def _origin(v):
+    return v.join(v.groupBy("arena").agg(F.min("t").alias("t")), ["arena", "t"], "left_semi").where("v > 40").select("arena", "y", "x")
+
+
+@query(f"{_LUMINANCE}\n--\nSELECT arena, t, y, x FROM lu", "", "arena, t, y, x")
+def luminance_draft(spark, sf):
+    v = videos(spark, sf)
+    return pipeline.luminance_draft(v, _origin(v), False, 45)
+
+
+def _mode(spark, sf, **settings) -> pipeline.Results:
+    v = videos(spark, sf)
+    second = v.withColumn("v", 255 - F.col("v")) if "logical" in settings else None
+    return pipeline.analyse(v, Settings(most_growth=45 / 288, **settings), 12, 12, second=second, origin=_origin(v))
+
+
+@query(f"""{_LUMINANCE}
+--
+SELECT arena, t, count(lu.arena) AS drafted FROM frames LEFT JOIN lu USING (arena, t) GROUP BY arena, t""", "", "arena, t, drafted")
+def luminance_areas(spark, sf):
+    v = videos(spark, sf)
+    found = pipeline.detected(v, Settings(detection=("luminance",), most_growth=45 / 288), 144, _origin(v))
+    n = found.groupBy("arena", "t").agg(F.count(F.lit(1)).alias("n"))
+    return v.select("arena", "t").distinct().join(n, ["arena", "t"], "left").select("arena", "t", F.coalesce("n", F.lit(0)).alias("drafted"))
+
+
+@query()
+def analysis_luminance(spark, sf):
+    return _mode(spark, sf, detection=("luminance",)).frames
+
+
+@query()
+def analysis_slope(spark, sf):
+    return _mode(spark, sf, detection=("slope",)).frames
+
+
+@query()
+def analysis_luminance_or_slope(spark, sf):
+    return _mode(spark, sf, detection=("luminance", "slope"), detection_join="Or").frames
+
+
+@query()
+def analysis_two_conversions(spark, sf):
+    return _mode(spark, sf, logical="Xor").frames
+
+
+@query()
+def analysis_leaving(spark, sf):
+    return _mode(spark, sf, mode="move and grow", fading=0.1).frames
+
+
+@query()
+def analysis_growth(spark, sf):
+    return _mode(spark, sf).growth
+
+
 # -- files ----------------------------------------------------------------
 
 

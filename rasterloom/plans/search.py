@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import color
+from ..functions import kernels as K
 from ..functions.stacks import Stack
 from ..operators import filters, frames
 
@@ -54,6 +55,33 @@ def search_channels(df: DataFrame, keys: Sequence[str], k: int = 20) -> DataFram
     return rank(channel_features(df, keys), keys, k)
 
 
+def filter_features(df: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
+    """(keys, candidate, components, area, spreads) of the Otsu segmentation under every filter of the grid, and without any (candidate -1): a frame's pixels are shuffled once for all of them."""
+    grid = [(-1, ("", None, None)), *enumerate(filters.filter_grid())]
+
+    def kernel(stack, v):
+        parts, done = list(stack.by_size(v)), {}
+        for c, (name, p, q) in grid:
+            own = (name, None, None) if name == "Laplace" else (name, p, q)  # its size changes nothing
+            if own not in done:
+                out = np.empty(len(v))
+                for _, a, some, where in parts:
+                    out[some] = filters.rescaled(K.apply_filter(a, name, 1.0 if p is None else p, q))[where]
+                kept = stack.features(stack.segmented(out))
+                done = done if name != "Laplace" else {own: kept}
+            else:
+                kept = done[own]
+            some = np.flatnonzero(kept["components"])
+            yield some, np.full(len(some), c), *(kept[n.split()[0]][some] for n in _FEATURES.split(", ")[1:])
+
+    return frames.run_stacks(df, keys, value, kernel, _FEATURES)
+
+
+def search_filters(df: DataFrame, keys: Sequence[str], k: int = 20, most_area: float | None = None) -> DataFrame:
+    """The k best filters by image: (keys, candidate, features, score, place); candidate is a place in `filters.filter_grid`."""
+    return rank(filter_features(df, keys), keys, k, most_area)
+
+
 AND, OR = 100, 101
 
 

@@ -8,9 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rasterloom.config import Settings
 from rasterloom.functions import color, formulas, series, stacks
 from rasterloom.functions import kernels as K
 from rasterloom.operators import components, descriptors, drawing, dynamics, filters, growth, motion, network, pixels, polygon, segmentation, tracking
+from rasterloom.plans import pipeline
 from rasterloom.plans import queries as Q
 from rasterloom.plans import search
 
@@ -337,6 +339,51 @@ def test_stacks_are_frames_side_by_side():
         assert all((stacks.rolling_otsu(grey)[i] == K.rolling_otsu(a)).all() for i, a in enumerate(grey))
 
 
+def test_filters_of_many_frames_are_filters_of_each(spark):
+    rng = np.random.default_rng(5)
+    for shape in ((8, 8), (5, 140)):
+        a = rng.normal(size=(6, *shape)) * 20
+        a[2] = 3.0
+        for name, p, q in filters.filter_grid()[:: 1 if shape == (8, 8) else 9]:
+            many = K.apply_filter(a, name, 1.0 if p is None else p, q)
+            for i in range(6):
+                assert many[i] == pytest.approx(K.apply_filter(a[i], name, 1.0 if p is None else p, q), abs=1e-9)
+    assert len(filters.filter_grid()) == 86 and filters.filter_candidates(spark).count() == 86
+    pixels_ = [(i, int(y), int(x), float(rng.integers(0, 99))) for i, (h, w) in enumerate(((9, 9), (4, 7))) for y in range(h) for x in range(w)]
+    d = spark.createDataFrame(pixels_, "img int, y int, x int, v double")
+    got = {(r.img, r.candidate): (r.components, r.area) for r in search.filter_features(d, ["img"]).collect()}
+    for img, rows in d.toPandas().groupby("img"):
+        a = rows.sort_values(["y", "x"])["v"].to_numpy().reshape(rows["y"].max() + 1, -1)
+        for c, (name, p, q) in [(-1, ("", None, None)), *enumerate(filters.filter_grid())]:
+            if name in ("", "Gaussian", "Median", "Sobel", "Laplace"):
+                out = filters.rescaled(K.apply_filter(a, name, 1.0 if p is None else p, q))
+                on = out > K.otsu(out)
+                on = ~on if 2 * on.sum() >= on.size else on
+                assert got.get((img, c), (0, 0)) == (K.label(on).max(), on.sum())
+    assert search.search_filters(d, ["img"], 3).groupBy("img").count().where("count = 3").count() == 2
+
+
+def test_cells_leave_where_the_analysis_says_so(spark):
+    shots = np.full((6, 10, 10), 10.0)
+    for t in range(6):
+        shots[t, 3:6, t : t + 3] = 200.0
+    grey = spark.createDataFrame([(0, t, int(y), int(x), float(shots[t, y, x])) for t in range(6) for y, x in np.ndindex(10, 10)], "arena int, t int, y int, x int, v double")
+    last = {}
+    for mode in ("grow", "move and grow"):
+        got = pipeline.analyse(grey, Settings(mode=mode, fading=0.2), 10, 10).states.collect()
+        arena = motion.Arena(motion.Rules(mode=mode, fading=0.2, lighter_background=False))
+        for t in range(6):
+            list(arena.frame(t, shots[t] > 100, shots[t] if mode != "grow" else None))
+            last[mode] = np.zeros((10, 10), bool)
+            last[mode][tuple(np.array([(r.y, r.x) for r in got if r.t == t]).T)] = True
+            assert (last[mode] == arena.state).all()
+    assert last["grow"][3:6, :3].all() and not last["move and grow"][3:6, :2].any()
+    slow = pipeline.analyse(grey, Settings(detection=("luminance",), most_growth=0.4), 10, 10, second=grey, origin=grey.where("t = 0 and v > 100").select("arena", "y", "x"))
+    assert slow.states.where("t = 0").count() == 9 and slow.growth.count() == 1
+    with pytest.raises(KeyError):
+        pipeline.analyse(grey, Settings(detection=("colour",)), 10, 10)
+
+
 def test_channel_search_equals_a_search_image_by_image(spark):
     rng = np.random.default_rng(9)
     pixels = [(i, int(y), int(x), *map(int, rng.integers(0, 256, 3))) for i, (h, w) in enumerate(((7, 9), (1, 4), (12, 5), (3, 3))) for y in range(h) for x in range(w)]
