@@ -45,9 +45,22 @@ def blocks(d: int, width: int) -> list[slice]:
     return [slice(a, min(a + width, d)) for a in range(0, d, width)]
 
 
-def _unit(lists: pa.Array) -> np.ndarray:
-    d = len(lists[0]) if len(lists) else 0
-    x = np.asarray(lists.flatten(), dtype=np.float64).reshape(len(lists), d)
+def _packed(x: np.ndarray) -> pa.Array:
+    """Rows as binary values: these are copied on their way, not walked number by number."""
+    x = np.ascontiguousarray(x)
+    step = x.shape[1] * x.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * step).astype(np.int32)), pa.py_buffer(x)])
+
+
+def _unpacked(column: pa.Array, d: int) -> np.ndarray:
+    """Rows of d numbers out of binary values, of 4 or 8 bytes a number."""
+    size = len(column[0].as_buffer()) // d
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[column.offset * d * size :][: len(column) * d * size]
+    return raw.view(f"<f{size}").reshape(len(column), d)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     scale = np.abs(x).max(1, keepdims=True)
     x = x / scale
     return x / np.sqrt((x * x).sum(1, keepdims=True))
@@ -68,21 +81,22 @@ def _calls(y: np.ndarray, radius: float, cell: float):
         yield rows[ok], at[ok] + np.array(step), not any(step)
 
 
-_CALLS = "label int, dim int, block int, cell long, home boolean, id long, weight long, vec "
+_CALLS = "label int, dim int, block int, cell long, home boolean, id long, weight long, vec binary"
 
 
 def grid(classes: DataFrame, least: float, width: int, axes: int) -> DataFrame:
     """Each class's home and calls in every block; classes: label, dim, id, weight, vec."""
 
     def run(batches):
-        names = [f.split()[0] for f in _CALLS.strip().split(", ")]
+        names = [f.split()[0] for f in _CALLS.split(", ")]
         for whole in batches:
             for a in range(0, len(whole), 512):
                 part = whole.slice(a, 512)
                 dims = part.column(1).to_numpy()
                 for d in np.unique(dims):
                     batch = part.filter(pa.array(dims == d))
-                    y = _unit(batch.column(4)) @ rotation(int(d))
+                    own = np.asarray(batch.column(4).flatten()).reshape(len(batch), d)
+                    y = _unit(own) @ rotation(int(d))
                     cuts = blocks(int(d), width)
                     for k, cut in enumerate(cuts):
                         radius = math.sqrt((2 - 2 * least) * (cut.stop - cut.start) / d + _SLACK)
@@ -93,11 +107,11 @@ def grid(classes: DataFrame, least: float, width: int, axes: int) -> DataFrame:
                             key = np.zeros(len(rows), np.int64)
                             for j in range(cells.shape[1]):
                                 key = key * 100003 + cells[:, j] + 50000
-                            take = batch.take(pa.array(rows))
+                            take = batch.select([0, 1, 2, 3]).take(pa.array(rows))
                             m = len(rows)
-                            yield pa.RecordBatch.from_arrays([take.column(0), take.column(1), pa.array(np.full(m, k, np.int32)), pa.array(key), pa.array(np.full(m, home)), take.column(2), take.column(3), take.column(4)], names=names)
+                            yield pa.RecordBatch.from_arrays([take.column(0), take.column(1), pa.array(np.full(m, k, np.int32)), pa.array(key), pa.array(np.full(m, home)), take.column(2), take.column(3), _packed(own[rows])], names=names)
 
-    return classes.select("label", "dim", "id", "weight", "vec").mapInArrow(run, _CALLS + classes.schema["vec"].dataType.simpleString())
+    return classes.select("label", "dim", "id", "weight", "vec").mapInArrow(run, _CALLS)
 
 
 def _join(least: float, width: int):
@@ -108,7 +122,7 @@ def _join(least: float, width: int):
         table = table.take(pa.array(order)).combine_chunks()
         chunk = chunk[order]
         ids, weight, home = (table.column(c).to_numpy() for c in ("id", "weight", "home"))
-        x = _unit(table.column("vec").combine_chunks())
+        x = _unit(_unpacked(table.column("vec").combine_chunks(), key[1].as_py()))
         d = x.shape[1]
         y = x @ rotation(d)
         cuts = blocks(d, width)
