@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import open_fs, scratch, settle, spread, write_file
+from .common import lean_memory, open_fs, scratch, settle, spread, write_file
 
 _HEAD = struct.Struct("<8sIIQQ")  # magic, bytes an id, version, documents, ids
 _MAGIC = b"TOKIDS\x00\x01"
@@ -69,8 +69,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        have = json.loads(Path(path).read_text(encoding="utf-8"))
-        self.cuts = all(have.get(k) == v for k, v in self._KNOWN.items()) and all(t["content"].startswith("<|") and t["special"] for t in have["added_tokens"])
+        parts = {k: getattr(self.tok, k) for k in self._KNOWN}
+        added = self.tok.get_added_tokens_decoder().values()
+        self.cuts = all(p is not None and json.loads(p.__getstate__()) == self._KNOWN[k] for k, p in parts.items()) and all(t.content.startswith("<|") and t.special for t in added)
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.cut = re.compile(self._MARKS).sub
@@ -125,6 +126,7 @@ def _tokenizer(path: str) -> WordTokenizer:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        lean_memory()
         _TOKENIZERS[path] = WordTokenizer(path)
     return _TOKENIZERS[path]
 
