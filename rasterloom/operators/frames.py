@@ -166,7 +166,8 @@ def run_stacks(df: DataFrame, keys: Sequence[str], value: str, kernel: Callable[
 
     full = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys) + f", {schema}"
     target = to_arrow_schema(_parse_datatype_string(full))
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "y", "x").mapInArrow(stream, full)
+    # Dealt by a hash of its own: rows that are already dealt by their keys, on both sides of the union, would not be dealt again, and their partitions coalesced apart.
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, "y", "x").mapInArrow(stream, full)
 
 
 def _changes(t: pa.Table, k: int, pc) -> np.ndarray:

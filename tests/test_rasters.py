@@ -405,6 +405,37 @@ def test_channel_search_equals_a_search_image_by_image(spark):
     assert {r.img for r in search.search_sums(d, ["img"], best.where("img = 0")).where("kind = 'add'").collect()} == {0}
 
 
+def test_heads_meet_their_frames_however_partitions_are_coalesced(spark):
+    from pyspark.sql import Window
+
+    rng = np.random.default_rng(11)
+    shots = rng.integers(0, 256, (400, 3, 4, 5))
+    flat = spark.createDataFrame([(int(i), int(y), int(x), *map(int, shots[i, :, y, x])) for i, y, x in np.ndindex(400, 4, 5)], "img long, y int, x int, b int, g int, r int")
+    dealt = flat.withColumn("n", F.count("b").over(Window.partitionBy("img"))).drop("n")
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    for key, size in small.items():
+        spark.conf.set(key, size)
+    try:
+        best = search.search_channels(dealt, ["img"], 2).cache()
+        got = {(r.img, r.candidate): (r.components, r.area) for r in search.search_logical(dealt, ["img"], search.search_channels(dealt, ["img"], 2)).collect()}
+        adds = {r.img for r in search.search_sums(dealt, ["img"], search.search_channels(dealt, ["img"], 19)).where("kind = 'add'").collect()}
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    values = {r[0]: np.stack(r[1]).T for r in search.channels(flat, ["img"]).groupBy("img").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p")).select("img", "p.v").collect()}
+    top, want = {}, {}
+    for r in best.collect():
+        top.setdefault(r.img, []).append(r.candidate)
+    for img, cs in top.items():
+        masks = [search._segmented(values[img][c].reshape(4, 5).astype(float), np.ones((4, 5), bool))[0] for c in cs]
+        for c, m in ((search.AND, np.logical_and(*masks) if len(masks) == 2 else np.zeros((4, 5), bool)), (search.OR, np.logical_or.reduce(masks))):
+            if m.any():
+                want[img, c] = (K.label(m).max(), m.sum())
+    assert got == want and adds == set(top) and len(top) > 300
+    plan = search.search_logical(dealt, ["img"], search.search_channels(dealt, ["img"], 2))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(xxhash64(img" in plan  # else the union passes for dealt
+
+
 def test_kmeans_finds_levels(spark):
     d = spark.createDataFrame([(1, i, 0, v) for i, v in enumerate([0.0, 0.1, 5.0, 5.1, 9.0])], "img int, y int, x int, v double")
     got = segmentation.kmeans_pixels(d, 3).orderBy("v").collect()
