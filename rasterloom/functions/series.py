@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -88,26 +89,71 @@ def run_bounds(df: DataFrame, keys: list[str], order: str, full: str, out: str =
     return df.select(*keys, order, ((now == 1) & (before == 0)).alias("starts"), ((now == 1) & (after == 0)).alias("ends")).where("starts or ends")
 
 
-def bootstrap_mean(df: DataFrame, keys: list[str], value: str, rounds: int = 1000, seed: int = 7) -> DataFrame:
-    """Mean and the 2.5 % and 97.5 % quantiles of resampled means.
+def poisson_sums(values: np.ndarray, counts: np.ndarray, rounds: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Per round the sum and the number of the rows it draws: values[i] stands for counts[i] rows, each drawn Poisson(1) times.
+
+    Both ways are exact. n rows are drawn Poisson(n) times in all, each draw any of them: quicker for few equal
+    values. A value's own Poisson(n) is one draw however many rows it stands for.
+    """
+    total, number = np.zeros(rounds), np.zeros(rounds, np.int64)
+    few = counts <= 8
+    rows = np.repeat(values[few], counts[few])
+    step = max(1, (1 << 16) // max(len(rows), 1))
+    for a in range(0, rounds if len(rows) else 0, step):
+        drawn = rng.poisson(len(rows), min(step, rounds - a))
+        starts, some = np.cumsum(drawn) - drawn, np.flatnonzero(drawn)
+        if len(some):
+            total[a + some] += np.add.reduceat(rows[rng.integers(0, len(rows), drawn.sum())], starts[some])
+        number[a : a + len(drawn)] += drawn
+    v, n = values[~few], counts[~few]
+    step = max(1, (1 << 16) // max(len(v), 1))
+    for a in range(0, rounds if len(v) else 0, step):
+        drawn = rng.poisson(n, (min(step, rounds - a), len(v)))
+        total[a : a + step] += np.where(drawn > 0, drawn * v, 0.0).sum(1)
+        number[a : a + step] += drawn.sum(1)
+    return total, number
+
+
+def bootstrap_mean(df: DataFrame, keys: list[str], value: str, rounds: int = 1000, seed: int = 7, chunk: int = 4096) -> DataFrame:
+    """Mean and the 2.5 % and 97.5 % quantiles of resampled means; null for keys without known values, NaN for those with a NaN.
 
     Poisson resampling: in each round a row counts k times with Poisson(1) chance. Equal values of a key are
-    summed up first and numbered, so that the draws, hashes of seed, round, key, value and number, are the
-    same whatever the partitions; beyond 32 equal ones their common Poisson count is drawn at once, by its
-    normal approximation. Rounds meet rows without any join, and sums are partial before the shuffle, so a
-    key or a value of any size is fine.
+    counted first, and hashed to chunks of about `chunk` different ones. A chunk meets 2,500 rounds at a time in
+    one task, whose generator is seeded by seed, key, chunk and first round: the draws are the same whatever the
+    partitions. A task holds a chunk and sums are partial, so a key or a value of any size is fine.
     """
+    import pyarrow as pa
+
+    spark, block = df.sparkSession, 2500
     counts = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null").groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    n, v, few = F.col("__n"), F.col("__v"), F.col("__n") <= 32
-    one = F.explode(F.when(few, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array(F.lit(1))))
-    spread = counts.select(*keys, "__v", F.when(few, 1).otherwise(n).alias("__n"), one.alias("__j")).withColumn("__round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    u, w = (F.pmod(F.xxhash64(F.lit(seed + i), "__round", *keys, "__v", "__j"), F.lit(1 << 30)) / float(1 << 30) for i in (0, 1))
-    k, total, p = F.lit(0), math.exp(-1), math.exp(-1)
-    for i in range(1, 9):
-        k, p = k + (u >= total).cast("int"), p / i
-        total += p
-    normal = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * w)
-    k = F.when(n == 1, k).otherwise(F.greatest(F.round(n + F.sqrt(n) * normal), F.lit(0)).cast("long"))
-    means = spread.withColumn("__k", k).groupBy(*keys, "__round").agg((F.sum(v * F.col("__k")) / F.when(F.sum("__k") > 0, F.sum("__k"))).alias("__m"))
+    sizes = counts.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("__chunks"))
+    dealt = _beside(counts, sizes, keys).withColumn("__chunk", F.pmod(F.xxhash64("__v"), F.col("__chunks")))
+    chunks = dealt.groupBy(*keys, "__chunk").agg(F.array_sort(F.collect_list(F.struct("__v", "__n"))).alias("__c"))
+    units = chunks.select(*keys, F.xxhash64(F.lit(0), *keys).alias("__key"), "__chunk", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1), F.lit(block))).alias("__first"), "__c.__v", "__c.__n")
+    tasks = 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def draw(batches):
+        for batch in batches:
+            at = len(keys)
+            for i in range(batch.num_rows):
+                key, part, first = (batch.column(at + j)[i].as_py() for j in range(3))
+                v, n = (np.asarray(batch.column(at + j)[i].values) for j in (3, 4))
+                here = min(block, rounds - first)
+                total, number = poisson_sums(v, n, here, np.random.default_rng([seed, key % (1 << 64), part, first]))
+                own = pa.array(np.full(here, i))
+                columns = [*(batch.column(j).take(own) for j in range(at)), pa.array(np.arange(first, first + here, dtype=np.int32)), pa.array(total), pa.array(number)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "__round", "__s", "__k"])
+
+    types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    drawn = units.repartition(tasks, *keys, "__chunk", "__first").mapInArrow(draw, f"{types}, __round int, __s double, __k long")
+    means = drawn.groupBy(*keys, "__round").agg((F.sum("__s") / F.when(F.sum("__k") > 0, F.sum("__k"))).alias("__m"))
     ends = means.groupBy(*keys).agg(F.percentile("__m", 0.025).alias("low"), F.percentile("__m", 0.975).alias("high"))
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean")).join(ends, keys)
+    found = _beside(df.groupBy(*keys).agg(F.avg(value).alias("mean")), ends, keys, "left")
+    return found.withColumns({c: F.when(F.isnan("mean"), F.col("mean")).otherwise(F.col(c)) for c in ("low", "high")})
+
+
+def _beside(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """df with the other columns of `other`; null keys meet null keys."""
+    named = other.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return df.join(named, same, how).drop(*[f"__{k}" for k in keys])

@@ -2,6 +2,7 @@
 
 import math
 import os
+import time
 
 import duckdb
 import numpy as np
@@ -293,6 +294,35 @@ def test_distances_and_draws_keep_every_key(spark):
         assert (r.high - r.low) == pytest.approx(3.92 * v.std() / math.sqrt(len(v)), rel=0.35)
 
 
+def test_bootstrap_of_a_whole_table(spark):
+    began = time.perf_counter()
+    got = Q.QUERIES["bootstrap_means"](spark, "/root/testdata/sf0.1").collect()
+    assert time.perf_counter() - began < 100  # 10,000 rounds over 100,000 rows; row by row it takes several minutes
+    want = {r.event_type: r for r in spark.read.parquet("/root/testdata/sf0.1/events.parquet").groupBy("event_type").agg(F.avg("value").alias("m"), (F.stddev("value") / F.sqrt(F.count("value"))).alias("e")).collect()}
+    assert len(got) == len(want) == 5
+    for r in got:
+        m, e = want[r.event_type].m, want[r.event_type].e
+        assert r.mean == pytest.approx(m, abs=1e-6) and r.low == pytest.approx(m - 1.96 * e, abs=0.1 * e) and r.high == pytest.approx(m + 1.96 * e, abs=0.1 * e)
+
+
+def test_bootstrap_keeps_every_key_and_draws_exactly(spark):
+    rows = [(None, float(v)) for v in range(50)] + [("a", None)] + [("b", float(v % 40)) for v in range(900)] + [("c", 1.0), ("c", math.nan)]
+    d = spark.createDataFrame(rows, "k string, v double")
+    one, other = ({r.k: r for r in series.bootstrap_mean(d.repartition(n), ["k"], "v", 3000, chunk=7).collect()} for n in (2, 5))
+    assert set(one) == {None, "a", "b", "c"} and one["a"][1:] == (None, None, None) and all(map(math.isnan, one["c"][1:]))
+    for k, v in ((None, np.arange(50.0)), ("b", np.arange(900.0) % 40)):
+        assert one[k][1:] == pytest.approx(other[k][1:], abs=1e-9) and one[k].mean == pytest.approx(v.mean())
+        assert one[k].high - one[k].low == pytest.approx(3.92 * v.std() / math.sqrt(len(v)), rel=0.1)
+    for n in (1, 3, 8, 9, 33):
+        total, number = series.poisson_sums(np.array([2.0]), np.array([n]), 40_000, np.random.default_rng(n))
+        assert (total == 2 * number).all() and abs(number.mean() - n) < 0.05 * n and abs(((number - n) ** 2).mean() - n) < 0.05 * n
+        assert abs(((number - n) ** 3.0).mean() - n) < 0.6 * n and abs((number == 0).mean() - math.exp(-n)) < 0.01  # a normal count has no third moment
+    values, counts = np.array([1.0, 10.0, 100.0, 1000.0]), np.array([2, 8, 9, 50])
+    total, number = series.poisson_sums(values, counts, 40_000, np.random.default_rng(0))
+    assert total.mean() == pytest.approx(values @ counts, rel=0.01) and total.var() == pytest.approx(values**2 @ counts, rel=0.05) and number.mean() == pytest.approx(69, rel=0.01)
+    assert np.cov(total, number)[0, 1] == pytest.approx(values @ counts, rel=0.05)
+
+
 def test_drift_and_drawing(spark):
     v = np.full((7, 7), 10.0)
     v[2:5, 2:5], v[0, 0] = 90.0, 40.0
