@@ -154,6 +154,6 @@ def bootstrap_mean(df: DataFrame, keys: list[str], value: str, rounds: int = 100
 
 def _beside(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """df with the other columns of `other`; null keys meet null keys."""
-    named = other.withColumnsRenamed({k: f"__{k}" for k in keys})
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    return df.join(named, same, how).drop(*[f"__{k}" for k in keys])
+    named = other.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]
+    return df.join(named, same, how).drop(*[f"__key_{k}" for k in keys])
