@@ -346,6 +346,32 @@ def test_as_wide_as_high_has_no_orientation(spark):
     assert {r.axes_orientation for r in got} == {0.0} and len(got) == len(shapes)
 
 
+def test_skewness_and_kurtosis_of_halves_are_rounded_up(spark):
+    rng = np.random.default_rng(5)
+    shapes = rng.random((150_000, 8, 8)) < 0.5
+    at = np.arange(8)
+    n, (s1, s2, s3, s4) = shapes.sum((1, 2)), (shapes.sum(1) @ at**k for k in range(1, 5))
+    wide = n * s2 - s1**2
+    root = np.round(np.sqrt(wide)).astype(np.int64)
+    third, fourth = n**2 * s3 - 3 * n * s1 * s2 + 2 * s1**3, n**3 * s4 - 4 * n**2 * s1 * s3 + 6 * n * s1**2 * s2 - 3 * s1**4
+    want = {}
+    for name, top, bottom, fit in (("skewness_x", third, wide * root, root**2 == wide), ("kurtosis_x", fourth, wide**2, wide > 0)):
+        twice, rest = np.divmod(2_000_000 * np.abs(top), np.maximum(bottom, 1))
+        for i in np.flatnonzero(fit & (wide > 0) & (rest == 0) & (twice % 2 == 1)):
+            want[int(i), name] = float(np.sign(top[i]) * ((twice[i] + 1) // 2) / 1e6)
+    assert len(want) > 10
+    rows = [(i, int(y), int(x)) for i in sorted({i for i, _ in want}) for y, x in rng.permutation(np.argwhere(shapes[i])).tolist()]
+    got = descriptors.moments(spark.createDataFrame(rows, "img int, y int, x int").repartition(5), ["img"]).select("img", F.round("skewness_x", 6).alias("skewness_x"), F.round("kurtosis_x", 6).alias("kurtosis_x"))
+    got = {r.img: r for r in got.collect()}
+    assert {k: got[k[0]][k[1]] for k in want} == want
+
+
+def test_moments_of_large_shapes_far_away(spark):
+    d = spark.range(40_000).select(F.lit(1).alias("img"), (F.floor(F.col("id") / 200) + 90_000).cast("int").alias("y"), (F.col("id") % 200 + 70_000).cast("int").alias("x"))
+    r = descriptors.moments(d, ["img"]).first()
+    assert r.skewness_x == pytest.approx(0, abs=1e-6) and r.kurtosis_y == pytest.approx(1.8, abs=1e-3)
+
+
 def test_stacks_are_frames_side_by_side():
     rng = np.random.default_rng(7)
     images = [rng.random((int(h), int(w))) < 0.6 for h, w in rng.integers(1, 12, (40, 2))]
